@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from foliograph.llm import sharding
+from foliograph.llm import decontamination, sharding, simhash
 
 QUERIES = {
     "op7_sharding": sharding.op7_sharding,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_decontamination": decontamination.op10_decontamination,
+}
+ORACLES: dict[str, str] = {
+    "op10_decontamination": decontamination.ORACLE,
 }
-ORACLES: dict[str, str] = {}
