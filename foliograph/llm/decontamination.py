@@ -139,9 +139,9 @@ WITH item AS (
 ), doc AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), lens AS (SELECT DISTINCT len(win) AS n FROM win
-), at AS (
+), spot AS (
   SELECT rid, s, n, list_slice(w, s + 1, s + n) AS win FROM doc, lens, unnest(range(0, len(w) - n + 1)) AS t(s) WHERE len(w) >= n
-), hit AS (SELECT rid, s, n, id FROM at JOIN win USING (win)
+), hit AS (SELECT rid, s, n, id FROM spot JOIN win USING (win)
 ), pos AS (SELECT rid, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + n)) AS t(p) GROUP BY rid
 ), ids AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS items FROM (SELECT DISTINCT rid, id FROM hit) GROUP BY rid
 )
