@@ -3,10 +3,12 @@
 Documents become pieces of at most `capacity` tokens (only the first piece of a longer one may
 be shorter). Each hash partition of pieces is packed by best-fit decreasing, and dual feasible
 functions give a lower bound of the bins that its sizes need. A partition that meets its bound
-is certified and done. The others have gaps and exchange their pieces: POOL partitions become
-one, which packs them again; a repacking that needs no fewer bins is not taken. A partition too
-large to be pooled whole keeps its full bins and exchanges the pieces of its other bins. Rounds
-end when all are certified, or one pool is left, or no two fit into a pool of MAX_POOLED.
+and the bound of its volume is certified and done. The others have gaps and exchange their
+pieces: POOL partitions become one, which packs them again; a repacking that needs no fewer bins
+is not taken. (A partition that meets a bound over its volume has the fewest bins for its own
+pieces, yet others may hold what fills them.) A partition too large to be pooled whole keeps its
+full bins and exchanges the pieces of its other bins. Rounds end when the bins meet the bound of
+all sizes together, when one pool is left, or when no two fit into a pool of MAX_POOLED.
 
 Defined results: null and empty texts have only the end token; a null id is carried; repeated
 rows are packed each; an empty table gives no rows; other columns are not read.
@@ -80,10 +82,12 @@ def tokenized(docs: DataFrame, capacity: int = 2048, end_id: int = 0, encoder=pu
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Bins that any packing of the sizes needs, by the dual feasible functions of Martello and Toth and of Fekete and Schepers."""
-    if not len(sizes):
-        return 0
-    count = np.bincount(sizes, minlength=capacity + 1)
+    """Bins that any packing of the sizes needs."""
+    return lower_bound_of_counts(np.bincount(sizes, minlength=capacity + 1), capacity)
+
+
+def lower_bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same of the number of pieces of each size, by the dual feasible functions of Martello and Toth and of Fekete and Schepers."""
     x = np.arange(capacity + 1)
     best = -(-int((count * x).sum()) // capacity)
     below, weight = np.cumsum(count), np.cumsum(count * x)
@@ -125,14 +129,15 @@ def _packer(capacity: int):
         sizes = pdf.length.to_numpy()
         bins = best_fit_decreasing(sizes, capacity)
         before = pdf.sequence_id[pdf.sequence_id >= 0].nunique() if (pdf.sequence_id >= 0).all() else None
-        if before is not None and bins.max() + 1 >= before:
-            used, certified = pdf.sequence_id.to_numpy(), before == lower_bound(sizes, capacity)
-        else:
-            used, certified = bins + (pdf.part.to_numpy() + 1) * (1 << 32), bins.max() + 1 == lower_bound(sizes, capacity)
-        pdf["sequence_id"] = used
-        load = pdf.groupby("sequence_id").length.transform("sum")
-        pdf["done"] = bool(certified) | ((load.to_numpy() == capacity) & (len(pdf) * POOL > MAX_POOLED))
-        pdf["bins"] = pdf.sequence_id.nunique()
+        bound = max(lower_bound(sizes, capacity), 1)
+        if before is None or bins.max() + 1 < before:
+            pdf["sequence_id"] = bins + (pdf.part.to_numpy() + 1) * (1 << 32)
+        n = pdf.sequence_id.nunique()
+        certified = n == bound == -(-int(sizes.sum()) // capacity)
+        full = pdf.groupby("sequence_id").length.transform("sum").to_numpy() == capacity
+        pdf["done"] = certified | (full & (len(pdf) * POOL > MAX_POOLED))
+        pdf["open_bins"] = pdf.sequence_id[~pdf.done].nunique()
+        pdf["done_bins"] = n - pdf.open_bins
         return pdf
 
     return pack
@@ -140,18 +145,24 @@ def _packer(capacity: int):
 
 def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """The columns of pieces with sequence_id and offset: few sequences of at most `capacity` tokens."""
-    schema = f"{PIECES}, part long, sequence_id long, done boolean, bins long"
+    schema = f"{PIECES}, part long, sequence_id long, done boolean, open_bins long, done_bins long"
     n = pieces.count()
     n_parts = max(1, math.ceil(n / PIECES_A_PARTITION))
     now = pieces.select("*", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(n_parts)).alias("part"), F.lit(-1).cast("long").alias("sequence_id"))
-    first_part, finished = 0, []
+    sizes = pieces.groupBy("length").count().collect()  # at most `capacity` rows
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    counts[[r.length for r in sizes]] = [r["count"] for r in sizes]
+    bound = lower_bound_of_counts(counts, capacity)
+    first_part, finished, done_bins = 0, [], 0
     while True:
         out = stored(now.groupBy("part").applyInPandas(_packer(capacity), schema), "packed")
         finished.append(out.filter("done"))
         left = out.filter(~F.col("done"))
-        open_parts = left.groupBy("part").count().orderBy("part").collect()  # one row a partition
+        parts = out.groupBy("part").agg(F.count_if(~F.col("done")).alias("count"), F.max("open_bins").alias("open_bins"), F.max("done_bins").alias("done_bins")).orderBy("part").collect()  # one row a partition
+        done_bins += sum(r.done_bins for r in parts)
+        open_parts = [r for r in parts if r["count"]]
         first_part += n_parts
-        if len(open_parts) <= 1 or n_parts == 1:
+        if len(open_parts) <= 1 or done_bins + sum(r.open_bins for r in parts) == bound:
             break
         pools, load, target = 0, MAX_POOLED + 1, {}
         size = 0
