@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliograph.llm import decontamination, packing, sharding, simhash
+from foliograph.llm import decontamination, media, packing, sharding, simhash
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op6_media": media.op6_media,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op10_decontamination": decontamination.op10_decontamination,
