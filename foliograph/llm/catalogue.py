@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from foliograph.llm import decontamination, media, packing, sharding, simhash
+from foliograph.llm import chat, decontamination, media, packing, sharding, simhash
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
+    "op4_chat": chat.op4_chat,
     "op6_media": media.op6_media,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES: dict[str, str] = {
+    "op4_chat": chat.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }
