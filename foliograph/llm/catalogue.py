@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foliograph.llm import chat, decontamination, media, packing, sharding, simhash
+from foliograph.llm import chat, decontamination, media, packing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
     "op4_chat": chat.op4_chat,
     "op6_media": media.op6_media,
