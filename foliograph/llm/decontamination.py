@@ -113,6 +113,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str =
     hits = hits.select("text_id", start.alias("start"), F.size("win").alias("len"), "ids").groupBy("text_id", "start", "len").agg(F.first("ids").alias("ids"))
     spans = F.collect_list(F.sequence("start", F.col("start") + F.col("len") - 1))
     per_text = hits.groupBy("text_id").agg(F.size(F.array_distinct(F.flatten(spans))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
+    per_text = stored(per_text, "decon-texts")  # apart from the join, which can then split the copies of one text
     return rows.select("doc_id", "text_id", "n_words").join(per_text, "text_id", "left").select(
         "doc_id", "text_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
     )
