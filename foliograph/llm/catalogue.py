@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliograph.llm import chat, decontamination, media, packing, sharding, simhash, toxicity
+from foliograph.llm import chat, decontamination, media, packing, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_media": media.op6_media,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
+    "op9_suffixes": suffixes.op9_suffixes,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES: dict[str, str] = {
