@@ -4,9 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliograph.llm.decontamination import decontamination_stage
+from foliograph.llm.packing import packing_stage
+from foliograph.llm.simhash import simhash_stage
+from foliograph.llm.suffixes import suffix_stage
+from foliograph.llm.toxicity import toxicity_stage
 from foliograph.session import stored
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("suffix-array dedup", suffix_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("best-fit packing", packing_stage),
+]
 
 #: The stages have no SQL form; tests/llm compares them with brute force.
 ORACLE_SQL = None
@@ -18,5 +29,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
+            docs = stored(docs, f"stage-{k}")
     return docs
