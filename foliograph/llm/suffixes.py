@@ -13,7 +13,7 @@ at the same offset. The windows of one anchor occurrence are consecutive and for
    prefixes are never compared again. Neighbouring common prefixes then give, with the common
    bytes before the anchor, exactly the windows that two blocks share.
 3. Anchors with more than CROWDED different blocks are too many for one task: their windows are
-   counted by hash instead, one row a window, with partial aggregation.
+   counted by hash instead, in one row for each different window of a task's blocks.
 4. The covered stretches go back to every occurrence, and each text's stretches are united.
 
 Defined results: a null text is empty; matches never cross rows, and a row that repeats another
@@ -43,6 +43,7 @@ RUN_BYTES = 12 << 20
 CROWDED = 1024
 PAIRWISE = 24
 BLOCKS_A_PART = 12_000
+WINDOWS_A_BATCH = 200_000
 
 _BASE = 0xD6E8FEB86659FD93
 _POS = np.uint64((1 << 21) - 1)
@@ -333,15 +334,44 @@ def _merged(length: int, gram: int):
 
 
 def _window_rows(length: int):
-    schema = pa.schema([("akey", pa.int64()), ("bhash", pa.int64()), ("d", pa.int32()), ("window", pa.int64())])
+    """One row for each different window of a task's blocks, with the blocks that have it."""
+    schema = pa.schema([("akey", pa.int64()), ("d", pa.int32()), ("window", pa.int64()), ("blocks", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int, int], list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            keys = list(zip(*seen, strict=True)) or [[]] * 3
+            out = pa.record_batch([pa.array(c, f.type) for c, f in zip([*keys, list(seen.values())], schema, strict=True)], schema=schema)
+            seen.clear()
+            return out
+
         for b in batches:
             for raw, hits in zip(_bytes_of(b.column(0)), b.column(1), strict=True):
                 for hit in hits.as_py():
                     block = raw[hit["pos"] : hit["pos"] + hit["n"] - 1 + length]
-                    n = hit["n"]
-                    yield pa.record_batch([pa.array(np.full(n, hit["akey"])), pa.array(np.full(n, hit["bhash"])), pa.array((hit["anchor"] - np.arange(n)).astype(np.int32)), pa.array(Hashes(block).sliding(length, 5).view(np.int64))], schema=schema)
+                    for k, w in enumerate(Hashes(block).sliding(length, 5).view(np.int64).tolist()):
+                        seen.setdefault((hit["akey"], hit["anchor"] - k, w), []).append(hit["bhash"])
+                    if len(seen) > WINDOWS_A_BATCH:
+                        yield flush()
+        yield flush()
+
+    return run
+
+
+def _reach_of_windows(length: int):
+    """From repeated windows to the reach that they give each of their blocks."""
+    schema = pa.schema([("akey", pa.int64()), ("bhash", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reach: dict[tuple[int, int], tuple[int, int]] = {}
+            for akey, d, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for bhash in own:
+                    old = reach.get((akey, bhash), (0, 0))
+                    reach[akey, bhash] = max(old[0], d), max(old[1], length - d)
+            cols = list(zip(*((*k, *v) for k, v in reach.items()), strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
 
@@ -362,10 +392,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     n_parts = min(1 << 20, max(12, math.ceil(n_wanted.count() / BLOCKS_A_PART)))
     runs = placed.filter("NOT crowded").select("text", "hits").mapInArrow(_runs(length, n_parts), "part int, run binary")
     reach = runs.groupBy("part").applyInPandas(_merged(length, gram), _REACH)
-    windows = placed.filter("crowded").select("text", "hits").mapInArrow(_window_rows(length), "akey long, bhash long, d int, window long")
+    windows = placed.filter("crowded").select("text", "hits").mapInArrow(_window_rows(length), "akey long, d int, window long, blocks array<long>")
     windows = stored(windows, "suffix-windows")
-    often = windows.groupBy("akey", "d", "window").agg(F.count_distinct("bhash").alias("times")).filter("times > 1").drop("times")
-    counted = windows.join(often, ["akey", "d", "window"]).groupBy("akey", "bhash").agg(F.max("d").alias("before"), (length - F.min("d")).cast("int").alias("after"))
+    often = windows.groupBy("akey", "d", "window").agg(F.sum(F.size("blocks")).alias("times")).filter("times > 1").drop("times")
+    counted = windows.join(often, ["akey", "d", "window"]).select("akey", "d", "blocks").mapInArrow(_reach_of_windows(length), _REACH)
+    counted = counted.groupBy("akey", "bhash").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     reach = reach.unionByName(counted)
 
     covers = kinds.join(reach, ["akey", "bhash"], "left").filter("times > 1 OR before IS NOT NULL")
