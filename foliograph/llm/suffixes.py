@@ -40,7 +40,7 @@ from foliograph.session import stored
 LENGTH, GRAM = 400, 64
 SEGMENT = 1 << 20
 RUN_BYTES = 12 << 20
-CROWDED = 1024
+CROWDED = 16_384
 PAIRWISE = 24
 BLOCKS_A_PART = 12_000
 WINDOWS_A_BATCH = 200_000
