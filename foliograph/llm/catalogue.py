@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from foliograph.llm import chat, decontamination, html, media, packing, sharding, simhash, suffixes, toxicity
+from foliograph.llm import chat, decontamination, html, media, packing, passages, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
+    "op3_passages": passages.op3_passages,
     "op4_chat": chat.op4_chat,
     "op5_html": html.op5_html,
     "op6_media": media.op6_media,
