@@ -19,5 +19,5 @@ def words(text: Column) -> Column:
 def detect(text: str | Column) -> Column:
     """pl or en by the more frequent stopwords (a tie is pl); null under eight words or without stopwords."""
     w = words(F.col(text) if isinstance(text, str) else text)
-    pl, en = (F.size(F.filter(w, lambda x, s=s: x.isin(s))) for s in (POLISH, ENGLISH))
+    pl, en = F.size(F.filter(w, lambda x: x.isin(POLISH))), F.size(F.filter(w, lambda x: x.isin(ENGLISH)))
     return F.when((F.size(w) < MIN_WORDS) | ((pl == 0) & (en == 0)), None).when(pl >= en, "pl").otherwise("en")

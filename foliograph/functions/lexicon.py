@@ -52,11 +52,15 @@ def first_case(cases: list[tuple[Column, str]]) -> Column:
 
 
 def section_kind(title: str | Column, fold_l: bool = False) -> Column:
-    """The kind that a heading names: as its first words, else anywhere; null if none. One CASE, so it runs in codegen and needs no join."""
-    key = heading_key(title, fold_l)
-    start = [(functools.reduce(lambda a, b: a | b, [(key == n) | key.startswith(n + " ") | key.startswith(n + ",") for n in needles]), kind) for kind, needles in SECTION_LEXICON.items()]
-    inside = [(functools.reduce(lambda a, b: a | b, [key.contains(n) for n in needles]), kind) for kind, needles in SECTION_LEXICON.items()]
-    return F.when(key != "", first_case(start + inside))
+    """The kind that a heading names: as its first words, else anywhere; null if none. The lexicon is one literal, so no join is needed."""
+    lex = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("needle")) for kind, needles in SECTION_LEXICON.items() for n in needles))
+
+    def of(key: Column) -> Column:
+        start = F.filter(lex, lambda x: (key == x.needle) | key.startswith(F.concat(x.needle, F.lit(" "))) | key.startswith(F.concat(x.needle, F.lit(","))))
+        inside = F.filter(lex, lambda x: key.contains(x.needle))
+        return F.when(key != "", F.coalesce(F.get(start, 0).kind, F.get(inside, 0).kind))
+
+    return F.get(F.transform(F.array(heading_key(title, fold_l)), of), 0)  # binds the key once
 
 
 def mapped(values: dict[str, str], of: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions.text import clean, strip_quotes
@@ -52,54 +52,51 @@ def pages(raw: Column) -> Column:
     return F.when(F.regexp_like(raw, F.lit(PAGES)), F.struct(F.regexp_extract(raw, PAGES, 1).alias("first"), F.regexp_extract(raw, PAGES, 2).alias("last")))
 
 
-def split_authors(blob: Column) -> Column:
-    """At semicolons, else at and/or/i/&, else at commas between names; otherwise one name."""
-    whole = clean(blob)
-    anded = F.regexp_replace(whole, r"(?i)\s+(?:and|or|i|&)\s+", "; ")
+def split_authors(whole: Column, anded: Column) -> Column:
+    """At semicolons, else at and/or/i/&, else at commas between names; otherwise one name. whole: the clean list; anded: with semicolons for these words."""
     parts = lambda t: F.filter(F.transform(F.split(t, ";"), lambda p: _stripped(p, " .,")), lambda p: p != "")
     chunks = F.transform(F.split(anded, ","), lambda p: _stripped(p, " ."))
-    named = F.filter(chunks, lambda p: p != "")
-    return (
-        F.when(whole == "", F.array().cast("array<string>"))
-        .when(whole.contains(";") & (F.size(parts(whole)) > 1), parts(whole))
-        .when(anded.contains(";") & (F.size(parts(anded)) > 1), parts(anded))
-        .when((F.size(chunks) > 1) & F.forall(named, lambda p: p.rlike(NAME_SHAPE)), named)
-        .otherwise(F.array(anded))
-    )
-
-
-def parsed(raw: Column) -> dict[str, Column]:
-    """The fields of an entry. A title is what stands between the first colon and the year, or the second sentence."""
-    text = body(raw)
-    bracketed = text.rlike(BRACKETED_YEAR)
-    plain = text.rlike(rf"(?U)\b({YEAR})\b")
-    head = F.when(bracketed, F.regexp_extract(text, rf"(?s)^(.*?){BRACKETED_YEAR}", 1)).when(plain, F.regexp_extract(text, rf"(?sU)^(.*?)\b({YEAR})\b", 1)).otherwise(text)
-    tail = F.substring(text, F.length(head) + 1, F.length(text))
-    blob = F.substring_index(head, ":", 1)
-    rest = F.when(head.contains(":"), F.substring(head, F.length(blob) + 2, F.length(head))).otherwise("")
-    names = split_authors(blob)
-    many = F.size(names) > MAX_AUTHORS
-    authors = F.when(many, F.array().cast("array<string>")).otherwise(names)
-    rest = F.when(many, clean(F.when(rest != "", F.concat(blob, F.lit(": "), rest)).otherwise(blob))).otherwise(rest)
-
-    title = strip_quotes(clean(rest))
-    chunks = F.filter(F.transform(F.split(head, r"\."), lambda c: F.trim(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))), lambda c: c != "")
-    sentences = (title == "") & (F.size(chunks) >= 2)
-    authors = F.when(sentences & (F.size(authors) == 0), split_authors(F.get(chunks, 0))).otherwise(authors)
-    third = F.nullif(clean(F.array_join(F.slice(chunks, 3, F.greatest(F.size(chunks) - 2, F.lit(0))), ".")), F.lit(""))
-    title = F.when(title != "", title).when(F.size(chunks) >= 2, strip_quotes(F.get(chunks, 1))).when(F.size(chunks) == 1, strip_quotes(F.get(chunks, 0))).otherwise("")
-
-    after = _stripped(F.regexp_replace(tail, r"^[\(\[]?\s*\d{4}[a-z]?\s*[\)\]]?", ""), r" .,;:")
-    candidate = clean(F.get(F.split(after, "[.;]"), 0))
-    venue = F.coalesce(F.when(sentences, third), F.when((candidate != "") & (F.length(candidate) < MAX_VENUE), candidate))
-    repeats = (title != "") & F.lower(title).contains(F.lower(venue)) & (F.size(F.split(venue, r"\s+")) <= 2)
-    venue = F.when(~repeats & ~venue.rlike(NOISE), venue)
-    blank = text == ""
-    none = F.lit(None)
-    return {
-        "authors": F.when(blank, F.array().cast("array<string>")).otherwise(authors),
-        "title": F.when(~blank, F.nullif(title, F.lit(""))), "year": year(text), "venue": F.when(blank, none).otherwise(venue), "doi": doi(text), "url": url(text),
-    }
+    named = lambda cs: F.when((F.size(cs) > 1) & F.forall(cs, lambda p: (p == "") | p.rlike(NAME_SHAPE)), F.filter(cs, lambda p: p != "")).otherwise(F.array(anded))
+    several = lambda first, second: F.when(whole.contains(";") & (F.size(first) > 1), first).when(anded.contains(";") & (F.size(second) > 1), second)
+    return F.when(whole == "", F.array().cast("array<string>")).otherwise(F.coalesce(several(parts(whole), parts(anded)), named(chunks)))
+
+
+def _anded(whole: Column) -> Column:
+    return F.regexp_replace(whole, r"(?i)\s+(?:and|or|i|&)\s+", "; ")
+
+
+def with_fields(df: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """df with the fields of the entries in raw_col and their confidence.
+
+    A title is what stands between the first colon and the year, or the second sentence. The steps
+    are projections of their own, so no expression is copied into all that use it.
+    """
+    c, none, empty = F.col, F.lit(None).cast("string"), F.array().cast("array<string>")
+    kept = df.columns
+    step = df.withColumn("__t", body(F.coalesce(c(raw_col), F.lit(""))))
+    step = step.withColumns({"__y": _found(c("__t"), BRACKETED_YEAR), "__p": _found(c("__t"), rf"(?U)\b({YEAR})\b"), "doi": doi(c("__t")), "url": url(c("__t"))})
+    head = F.when(c("__y").isNotNull(), F.regexp_extract("__t", rf"(?s)^(.*?){BRACKETED_YEAR}", 1)).when(c("__p").isNotNull(), F.regexp_extract("__t", rf"(?sU)^(.*?)\b({YEAR})\b", 1)).otherwise(c("__t"))
+    step = step.withColumns({"year": F.coalesce("__y", "__p").cast("int"), "__head": head})
+    step = step.withColumns({"__tail": F.substring(c("__t"), F.length("__head") + 1, F.length("__t")), "__blob": F.substring_index("__head", ":", 1)})
+    chunks = F.filter(F.transform(F.split("__head", r"\."), lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), lambda x: x != "")
+    step = step.withColumns({
+        "__rest": F.when(F.contains("__head", F.lit(":")), F.substring(c("__head"), F.length("__blob") + 2, F.length("__head"))).otherwise(""), "__whole": clean("__blob"), "__chunks": chunks,
+        "__after": _stripped(F.regexp_replace("__tail", r"^[\(\[]?\s*\d{4}[a-z]?\s*[\)\]]?", ""), r" .,;:"),
+    })
+    step = step.withColumns({"__anded": _anded(c("__whole")), "__w0": clean(F.coalesce(F.get("__chunks", 0), F.lit("")))})
+    step = step.withColumns({"__names": split_authors(c("__whole"), c("__anded")), "__anded0": _anded(c("__w0"))})
+    many = F.size("__names") > MAX_AUTHORS
+    rest = F.when(many, clean(F.when(c("__rest") != "", F.concat("__blob", F.lit(": "), "__rest")).otherwise(c("__blob")))).otherwise(c("__rest"))
+    step = step.withColumns({"__title": strip_quotes(clean(rest)), "__authors": F.when(many, empty).otherwise(c("__names")), "__venue": clean(F.get(F.split("__after", "[.;]"), 0))})
+    sentences = (c("__title") == "") & (F.size("__chunks") >= 2)
+    third = F.nullif(clean(F.array_join(F.slice("__chunks", F.lit(3), F.greatest(F.size("__chunks") - 2, F.lit(0))), ".")), F.lit(""))
+    named = F.when(sentences & (F.size("__authors") == 0), split_authors(c("__w0"), c("__anded0"))).otherwise(c("__authors"))
+    title = F.when(c("__title") != "", c("__title")).otherwise(strip_quotes(F.coalesce(F.get("__chunks", F.when(F.size("__chunks") >= 2, 1).otherwise(0)), F.lit(""))))
+    venue = F.coalesce(F.when(sentences, third), F.when((c("__venue") != "") & (F.length("__venue") < MAX_VENUE), c("__venue")))
+    step = step.withColumns({"authors": named, "title": F.nullif(title, F.lit("")), "__v": venue})
+    repeats = F.coalesce(F.lower("title").contains(F.lower("__v")) & (F.size(F.split("__v", r"\s+")) <= 2), F.lit(False))
+    step = step.withColumn("venue", F.when(~repeats & ~c("__v").rlike(NOISE), c("__v")).otherwise(none))
+    return step.withColumn("confidence", confidence(c("authors"), c("title"), c("year"), c("venue"), c("doi"))).select(*kept, *FIELDS, "confidence")
 
 
 def confidence(authors: Column, title: Column, year_: Column, venue: Column, doi_: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Abbreviations whose period does not end a sentence, Polish then English.
 ABBREVIATIONS = set(
@@ -63,6 +64,6 @@ def split(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("text", "string")))
 def split_sentences(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"start": a, "end": b, "text": t[a:b]} for a, b in split(t)] if t else [])

@@ -36,6 +36,6 @@ def harvest(entries: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if known is not None:
         rows = rows.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
     at = F.row_number().over(in_document())
-    found = rows.select("doc_id", at.alias("ordinal"), F.format_string("r%03d", at).alias("ref_id"), "raw").withColumns(r.parsed(F.col("raw")))
-    found = found.withColumn("confidence", r.confidence(F.col("authors"), F.col("title"), F.col("year"), F.col("venue"), F.col("doi")))
+    found = rows.select("doc_id", at.alias("ordinal"), F.format_string("r%03d", at).alias("ref_id"), "raw")
+    found = r.with_fields(found)
     return found if known is None else known.select(*found.columns).unionByName(found)

@@ -13,7 +13,7 @@ from foliograph.operators.blocks import in_document
 # The words that announce a float in running text.
 _WORDS = r"(?:rys\.?|rysunku|rysunek|rysunek|fig\.?|figure|wykres|tab\.?|tabeli|tabela|tabl\.?|table)"
 _NUMBER = r"[0-9IVXLivxl]+(?:[.\-][0-9IVXLivxl]+)*"
-MENTION = rf"(?iu){_WORDS}\s*(?:nr\.?\s*)?({_NUMBER})"
+MENTION = rf"(?iU){_WORDS}\s*(?:nr\.?\s*)?({_NUMBER})\b"
 
 
 def nearest_caption(blocks: DataFrame, reach: int = 2) -> DataFrame:

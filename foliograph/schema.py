@@ -18,30 +18,32 @@ EXCLUDE_REASONS = ("front_matter", "toc", "bibliography", "code", "quote", "appe
 SEVERITIES = ("info", "minor", "major", "critical")
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 STYLE = "struct<font:string,size_pt:double,bold:boolean,italic:boolean,line_spacing:double,align:string,indent_cm:double,space_before_pt:double>"
-TABLES: dict[str, T.StructType] = {
-    "documents": _struct("doc_id string, source_format string, filename string, sha256 string, pages int, words int, language_primary string, margins_cm map<string,double>, page_size string, extra string"),
-    "blocks": _struct(f"doc_id string, ordinal int, block_id string, type string, level int, text string, start int, end int, page int, bbox array<double>, xml_path string, line int, style {STYLE}, flags array<string>"),
-    "sections": _struct("doc_id string, ordinal int, section_id string, kind string, title string, block_ids array<string>, page_range struct<min:int,max:int>, lang string"),
-    "citations": _struct("doc_id string, citation_id string, raw string, style string, keys array<string>, block_id string, start int, end int, ref_id string"),
-    "refs": _struct("doc_id string, ordinal int, ref_id string, raw string, authors array<string>, title string, year int, venue string, doi string, url string, confidence double"),
-    "floats": _struct("doc_id string, kind string, float_id string, number string, caption string, page int, referenced_by array<string>"),
-    "exclusions": _struct("doc_id string, start int, end int, reason string"),
-    "segments": _struct("doc_id string, block_id string, start int, end int, text string, word_count int"),
-    "findings": _struct(
+#: Column names and types of each table.
+TABLES: dict[str, str] = {
+    "documents": "doc_id string, source_format string, filename string, sha256 string, pages int, words int, language_primary string, margins_cm map<string,double>, page_size string, extra string",
+    "blocks": f"doc_id string, ordinal int, block_id string, type string, level int, text string, start int, end int, page int, bbox array<double>, xml_path string, line int, style {STYLE}, flags array<string>",
+    "sections": "doc_id string, ordinal int, section_id string, kind string, title string, block_ids array<string>, page_range struct<min:int,max:int>, lang string",
+    "citations": "doc_id string, citation_id string, raw string, style string, keys array<string>, block_id string, start int, end int, ref_id string",
+    "refs": "doc_id string, ordinal int, ref_id string, raw string, authors array<string>, title string, year int, venue string, doi string, url string, confidence double",
+    "floats": "doc_id string, kind string, float_id string, number string, caption string, page int, referenced_by array<string>",
+    "exclusions": "doc_id string, start int, end int, reason string",
+    "segments": "doc_id string, block_id string, start int, end int, text string, word_count int",
+    "findings": (
         "doc_id string, finding_id string, module string, rule_id string, severity string, confidence double, title_pl string, title_en string, detail_pl string, detail_en string,"
         " locations array<struct<block_id:string,start:int,end:int>>, evidence string, suggested_fix struct<text_pl:string,text_en:string>, docs_url string"
     ),
 }
 
 
+def struct(table: str) -> T.StructType:
+    """A table's schema; needs a running session."""
+    return T.StructType.fromDDL(TABLES[table])
+
+
 def export_schema() -> str:
     """All tables as JSON."""
-    return json.dumps({"schema_version": VERSION, "tables": {k: json.loads(v.json()) for k, v in TABLES.items()}}, indent=2)
+    return json.dumps({"schema_version": VERSION, "tables": {k: json.loads(struct(k).json()) for k in TABLES}}, indent=2)
 
 
 def violations(blocks_or_sections: str) -> Column:
