@@ -27,3 +27,16 @@ def text_key(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else changed, whatever the locale or script."""
     return F.translate(text, UPPER, LOWER)
+
+
+#: Rows of an Arrow batch for Python: texts are long, and both sides hold whole batches.
+BATCH_ROWS = 1000
+
+
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """df itself; its session sends at most BATCH_ROWS rows a batch to Python from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, text_key
+from foliograph.llm.common import table, text_key, with_small_batches
 from foliograph.session import stored
 
 SUPPORT, MIN_PAGES = 0.5, 3
@@ -233,7 +233,7 @@ def hosts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     """(page_id, url, html, host): the host of a page without one is the page itself."""
     host = F.lower(F.try_parse_url(F.col(url_col), F.lit("HOST")))
     own = F.concat(F.lit("?"), F.hex(text_key(F.concat_ws("\0", F.col(id_col).cast("string"), F.col(url_col), F.col(html_col)))))
-    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.coalesce(host, own).alias("host"))
+    return with_small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.coalesce(host, own).alias("host"))
 
 
 def templates(paged: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table
+from foliograph.llm.common import table, with_small_batches
 
 SAMPLE = 192
 CHUNK = 64
@@ -230,7 +230,7 @@ def containers(media: DataFrame, content_col: str = "content", keep: tuple[str,
             kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), key_type]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return media.select(*columns, F.col(content_col).alias("__content")).mapInArrow(run, schema)
+    return with_small_batches(media).select(*columns, F.col(content_col).alias("__content")).mapInArrow(run, schema)
 
 
 _STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -256,7 +256,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _STORED)
+    return with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _STORED)
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table
+from foliograph.llm.common import table, with_small_batches
 from foliograph.session import stored
 
 PIECES_A_PARTITION, POOL, MAX_POOLED = 60_000, 8, 500_000
@@ -78,7 +78,7 @@ def tokenized(docs: DataFrame, capacity: int = 2048, end_id: int = 0, encoder=pu
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES) if rows else pa.record_batch([[]] * 5, schema=_PIECES)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliograph.llm.common import LOWER, UPPER, table, text_key, text_of
+from foliograph.llm.common import LOWER, UPPER, table, text_key, text_of, with_small_batches
 from foliograph.session import discard, stored
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", text
             fps = np.array([fingerprint(t, n_words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fps)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, fp long")
+    return with_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(score, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:

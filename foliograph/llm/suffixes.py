@@ -34,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, text_key, text_of
+from foliograph.llm.common import table, text_key, text_of, with_small_batches
 from foliograph.session import stored
 
 LENGTH, GRAM = 400, 64
-SEGMENT = 1 << 20
-RUN_BYTES = 12 << 20
+SEGMENT = 1 << 18
+RUN_BYTES = 6 << 20
 CROWDED = 16_384
 PAIRWISE = 24
 BLOCKS_A_PART = 12_000
@@ -378,7 +378,7 @@ def _reach_of_windows(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(tkey, spans): for each text with repeated strings, where they lie (array of start and end in bytes, in no order, overlapping)."""
-    keyed = docs.select(text_key(text_of(text_col)).alias("tkey"), F.xxhash64(id_col).alias("dkey"), text_of(text_col).alias("text"))
+    keyed = with_small_batches(docs).select(text_key(text_of(text_col)).alias("tkey"), F.xxhash64(id_col).alias("dkey"), text_of(text_col).alias("text"))
     long = keyed.filter(F.octet_length("text") >= length)
     found = stored(occurrences(long, length, gram), "suffix-blocks")
     kinds = stored(found.groupBy("akey", "bhash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("tkey", "dkey", "pos", "n", "anchor")).alias("one")), "suffix-kinds")
