@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and what they decompose to. The letter l with stroke has no
-# decomposition; `fold_l` maps it too.
-ACCENTED = "ąćęńóśźżàáâãäåçèéêëìíîïñòôõöùúûüýÿčďěňřšťůžőűășțāēīōūğş"
-PLAIN = "acenoszzaaaaaaceeeeiiiinooooouuuuyycdenrstuzouastaeiougs"
+# Accented Latin letters. Each maps to the letter it decomposes to; the letter l with
+# stroke has no decomposition, and `fold_l` maps it too.
+ACCENTED = "ąćęńóśźżàáâãäåçèéêëìíîïñòôõöùúûüýÿčďěňřšťůžőűșțāēīōūğş"
+PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in ACCENTED)
 LIGATURES = (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb05", "st"), ("\ufb06", "st"))
 QUOTE_PAIRS = (("„", "”"), ("“", "”"), ('"', '"'), ("'", "'"), ("«", "»"))
 CAPTION = r"(?iu)^\s*(?:(Rys\.|Rysunek|Figure|Fig\.|Wykres|Schemat|Fot\.|Fotografia)|(Tab\.|Tabela|Table|Tablica))\s*\.?\s*([\dIVXL]+(?:[.\-][\dIVXL]+)*)"
