@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, text_key, with_small_batches
+from foliograph.llm.common import lean, table, text_key, with_small_batches
 from foliograph.session import stored
 
 SUPPORT, MIN_PAGES = 0.5, 3
@@ -240,6 +240,7 @@ def templates(paged: DataFrame) -> DataFrame:
     """(host, classes): the candidate classes of each host with at least MIN_PAGES pages, from the most frequent on, each in the order of its tokens' mean places."""
     schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("times", pa.int64()), ("place", pa.float64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
@@ -270,6 +271,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     known = stored(templates(paged), "html-templates")
     id_type = paged.schema["page_id"].dataType
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(page.as_py(), classes.as_py() or []) for page, classes in zip(b.column(2), b.column(3), strict=True)]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, with_small_batches
+from foliograph.llm.common import lean, table, with_small_batches
 
 SAMPLE = 192
 CHUNK = 64
@@ -216,6 +216,7 @@ def containers(media: DataFrame, content_col: str = "content", keep: tuple[str,
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*columns).schema]) + ", " * bool(keep) + _INFO
     key_type = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -240,6 +241,7 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Each text as a container, read back: digests of payload and container, and what the walk finds."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

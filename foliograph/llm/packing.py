@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, with_small_batches
+from foliograph.llm.common import lean, table, with_small_batches
 from foliograph.session import stored
 
 PIECES_A_PARTITION, POOL, MAX_POOLED = 60_000, 8, 500_000
@@ -69,6 +69,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def tokenized(docs: DataFrame, capacity: int = 2048, end_id: int = 0, encoder=public_encoder, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all rows; encoder is called once on each executor's worker and gives text -> ids."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
         for b in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliograph.llm.common import LOWER, UPPER, table, text_key, text_of, with_small_batches
+from foliograph.llm.common import LOWER, UPPER, lean, table, text_key, text_of, with_small_batches
 from foliograph.session import discard, stored
 
 SEED = 42
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, n_words: int = 3, id_col: str = "doc_id", text
     """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, n_words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import table, text_key, text_of, with_small_batches
+from foliograph.llm.common import lean, table, text_key, text_of, with_small_batches
 from foliograph.session import stored
 
 LENGTH, GRAM = 400, 64
@@ -150,6 +150,7 @@ def occurrences(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     """All blocks of all rows (tkey, dkey, text)."""
     schema = pa.schema([("tkey", pa.binary()), ("dkey", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("anchor", pa.int32()), ("akey", pa.int64()), ("bhash", pa.int64())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for texts, rows, offs in _batches(_bytes_of(b.column(2)), length):
@@ -287,6 +288,7 @@ def shared_windows(group: list[tuple[int, Entry]], length: int) -> dict[tuple[in
 
 
 def _runs(length: int, n_parts: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("run", pa.binary())])
         pending: dict[int, list[Entry]] = {}
@@ -337,6 +339,7 @@ def _window_rows(length: int):
     """One row for each different window of a task's blocks, with the blocks that have it."""
     schema = pa.schema([("akey", pa.int64()), ("d", pa.int32()), ("window", pa.int64()), ("blocks", pa.list_(pa.int64()))])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int, int], list[int]] = {}
 
@@ -363,6 +366,7 @@ def _reach_of_windows(length: int):
     """From repeated windows to the reach that they give each of their blocks."""
     schema = pa.schema([("akey", pa.int64()), ("bhash", pa.int64()), ("before", pa.int32()), ("after", pa.int32())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             reach: dict[tuple[int, int], tuple[int, int]] = {}
@@ -452,6 +456,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), text_key(text_of(text_col)).alias("tkey"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -475,6 +480,7 @@ def suffix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = docs.withColumn("__tkey", text_key(text_of("text")))
     joined = marked.join(spans.select(F.col("tkey").alias("__tkey"), F.col("spans").alias("__spans")), "__tkey", "left").drop("__tkey")
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept = []
