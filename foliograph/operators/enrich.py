@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.operators import bibliography, citations, exclusions, floats, languages, sections
+from foliograph.session import stored
 
 
 @dataclass
@@ -22,17 +23,21 @@ class Enriched:
 
 
 def enrich(blocks: DataFrame, known_refs: DataFrame | None = None, known_citations: DataFrame | None = None, images: DataFrame | None = None, fold_l: bool = False) -> Enriched:
-    """All tables of the documents of `blocks` (doc_id, ordinal, block_id, type, level, text, start, end, page, flags)."""
-    assigned = sections.assign_sections(blocks)
-    cut = sections.build_sections(assigned, fold_l)
+    """All tables of the documents of `blocks` (doc_id, ordinal, block_id, type, level, text, start, end, page, flags).
+
+    Tables that several later steps read are written once to the shared folder, so no step is
+    planned or run again for each of its readers.
+    """
+    assigned = stored(sections.assign_sections(blocks), "blocks")
+    cut = stored(sections.build_sections(assigned, fold_l), "sections")
     assigned = bibliography.retype_entries(assigned, cut)
-    refs = bibliography.harvest(bibliography.bibliography_blocks(assigned, cut, fold_l), known_refs)
-    primary = languages.primary_language(assigned)
-    cut = languages.correct_abstracts(cut, languages.section_language(assigned, primary))
-    mask = exclusions.merge_ranges(exclusions.candidate_ranges(assigned, cut))
-    marked = exclusions.mark_excluded(assigned, mask)
-    cites = citations.attach(marked, refs, mask, known_citations)
-    register = floats.register(marked, images)
+    refs = stored(bibliography.harvest(bibliography.bibliography_blocks(assigned, cut, fold_l), known_refs), "refs")
+    primary = stored(languages.primary_language(assigned), "languages")
+    cut = stored(languages.correct_abstracts(cut, languages.section_language(assigned, primary)), "sections")
+    mask = stored(exclusions.merge_ranges(exclusions.candidate_ranges(assigned, cut)), "exclusions")
+    marked = stored(exclusions.mark_excluded(assigned, mask), "blocks")
+    cites = stored(citations.attach(marked, refs, mask, known_citations), "citations")
+    register = stored(floats.register(marked, images), "floats")
     return Enriched(marked, cut, refs, cites, floats.with_mentions(register, floats.mentions(marked, register)), mask, primary)
 
 
