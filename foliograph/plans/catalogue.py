@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from foliograph.functions import citations as cite
 from foliograph.functions import language, lexicon, references
 from foliograph.functions import text as t
-from foliograph.operators import bibliography, blocks, citations, enrich, exclusions, floats, languages, metrics, pdf, sections, segments
+from foliograph.operators import analysers, bibliography, blocks, citations, enrich, exclusions, floats, languages, metrics, pdf, sections, segments
 from foliograph.plans import stages
+from foliograph.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -264,7 +265,7 @@ linked AS (SELECT c.doc_id, block_id, 'c' || lpad((row_number() OVER (PARTITION
 
 
 def linked_citations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    refs = bibliography.harvest(derived_references(spark, sf_dir)).filter("ordinal <= 4")
+    refs = stored(bibliography.harvest(derived_references(spark, sf_dir)).filter("ordinal <= 4"), "refs")
     found = derived_blocks(table(spark, sf_dir, "documents"))
     none = found.limit(0).select("doc_id", "start", "end", F.lit("toc").alias("reason"))
     return citations.attach(found, refs, none), refs
@@ -445,3 +446,84 @@ def enrichment_summary(spark, sf_dir):
 @query()
 def enriched_theses(spark, sf_dir):
     return enrich.summary(enrich.enrich(derived_blocks(table(spark, sf_dir, "documents"))))
+
+
+# Deterministic analysers.
+
+
+@query(f"""WITH {THESIS}, broken AS (
+ SELECT doc_id, block_id, start, stop, unnest(list_filter([
+  CASE WHEN type = 'heading' AND regexp_matches(text, '\\.\\s*$') THEN 'heading-dot' END,
+  CASE WHEN type IN ('paragraph', 'list_item') AND regexp_matches(text, '(?:^|\\s)[aiouwzAIOUWZ]\\s*$') THEN 'orphan-letter' END,
+  CASE WHEN type IN ('paragraph', 'quote') AND contains(text, '"') THEN 'straight-quotes' END,
+  CASE WHEN type IN ('paragraph', 'list_item') AND contains(text, ' - ') THEN 'spaced-hyphen' END,
+  CASE WHEN type = 'paragraph' AND regexp_matches(text, '(?:^|[^\\d.])\\d+\\.\\d+(?:[^\\d.]|$)') THEN 'decimal-point' END,
+  CASE WHEN type = 'paragraph' AND regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])\\p{{L}}+(?:łem|łam|liśmy|łyśmy)(?:[^\\p{{L}}\\p{{N}}_]|$)') THEN 'first-person' END], lambda x: x IS NOT NULL)) AS rule_id FROM spanned)
+ SELECT doc_id, rule_id, count(*) AS findings FROM broken GROUP BY 1, 2""")
+def rule_findings(spark, sf_dir):
+    return analysers.check_blocks(derived_blocks(table(spark, sf_dir, "documents"))).groupBy("doc_id", "rule_id").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query(f"WITH {SECTIONS}, wanted AS (SELECT DISTINCT doc_id, k AS kind FROM sections, unnest(['introduction', 'bibliography', 'summary']) AS u(k)) SELECT doc_id, kind FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM sections s WHERE s.doc_id = w.doc_id AND s.kind = w.kind)")
+def missing_sections(spark, sf_dir):
+    found = sections.build_sections(sections.assign_sections(derived_blocks(table(spark, sf_dir, "documents"))))
+    return analysers.missing_sections(found, ("introduction", "bibliography", "summary"))
+
+
+@query(r"""WITH row AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS w, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda s: len(regexp_extract_all(s, '\p{L}+'))), lambda n: n > 0) AS s FROM documents)
+ SELECT doc_id, len(w)::INT AS words, round(len(list_distinct(w)) / len(w), 4) AS type_token_ratio, 0.0::DOUBLE AS function_share, round(list_aggregate(s, 'stddev_pop') / list_aggregate(s, 'avg'), 4) AS burstiness, len(w) >= 150 AS enough FROM row""")
+def stylometry(spark, sf_dir):
+    return analysers.stylometry(table(spark, sf_dir, "documents"))
+
+
+SCORED = "scored AS (SELECT least(n_chars, 20000) / 20000 AS score, quality AS label FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
+
+
+def scored_labels(spark, sf_dir) -> DataFrame:
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality IS NOT NULL"), "doc_id")
+    return joined.select((F.least("n_chars", F.lit(20000)) / 20000).alias("score"), F.col("quality").alias("label"))
+
+
+@query(f"WITH {SCORED} SELECT (SELECT count(*) FROM scored WHERE label = 1) AS positives, (SELECT count(*) FROM scored WHERE label = 0) AS negatives, round(avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END), 6) AS auroc FROM scored p, scored n WHERE p.label = 1 AND n.label = 0")
+def auroc(spark, sf_dir):
+    return analysers.auroc(scored_labels(spark, sf_dir))
+
+
+@query(f"""WITH {SCORED}, cuts AS (SELECT DISTINCT score AS t FROM scored), curve AS (SELECT t, avg((score >= t)::INT) FILTER (WHERE label = 1) AS tpr, avg((score >= t)::INT) FILTER (WHERE label = 0) AS fpr FROM cuts, scored GROUP BY 1)
+ SELECT min(t) AS threshold, round(max(tpr), 6) AS tpr FROM curve WHERE fpr <= 0.1""")
+def tpr_at_fpr(spark, sf_dir):
+    return analysers.tpr_at_fpr(scored_labels(spark, sf_dir), 0.1)
+
+
+@query(f"WITH {SCORED}, bins AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS n, abs(avg(score) - avg(label)) AS gap FROM scored GROUP BY 1) SELECT round(sum(n * gap) / sum(n), 6) AS ece FROM bins")
+def calibration_error(spark, sf_dir):
+    return analysers.calibration_error(scored_labels(spark, sf_dir))
+
+
+@query(f"""WITH {RANGES}, f AS (SELECT doc_id, start, stop, reason AS rule_id, row_number() OVER (PARTITION BY doc_id, reason ORDER BY start, stop) AS n FROM ranges),
+ apart AS (SELECT *, CASE WHEN start < max(stop) OVER (PARTITION BY doc_id, rule_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS gap FROM f),
+ islands AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, rule_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM apart)
+ SELECT doc_id, rule_id AS family, min(start) AS start, max(stop) AS "end", count(*) AS merged FROM islands GROUP BY doc_id, rule_id, island""")
+def finding_dedup(spark, sf_dir):
+    findings = derived_ranges(spark, sf_dir).withColumnRenamed("reason", "rule_id").withColumn("severity", F.lit("minor"))
+    return analysers.merge_findings(findings).drop("severity")
+
+
+@query("""SELECT * FROM (SELECT o_orderkey AS k, unnest(['status', 'priority']) AS field, unnest([o_orderstatus, o_orderpriority]) AS left_value, unnest([CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END]) AS right_value FROM orders)
+ WHERE left_value IS DISTINCT FROM right_value""")
+def metadata_diff(spark, sf_dir):
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
+    right = left.select("k", F.when(F.col("k") % 3 == 0, "X").otherwise(F.col("status")).alias("status"), F.when(F.col("k") % 5 != 0, F.col("priority")).alias("priority"))
+    return analysers.metadata_diff(left, right, ["k"], ["status", "priority"])
+
+
+@query(f"WITH {LINES}, cache AS (SELECT DISTINCT sha256(text || chr(0) || 'grammar' || chr(0) || '1') AS cache_key FROM blocks WHERE doc_id % 2 = 0) SELECT doc_id, block_id FROM blocks WHERE sha256(text || chr(0) || 'grammar' || chr(0) || '1') NOT IN (SELECT cache_key FROM cache)")
+def incremental_recheck(spark, sf_dir):
+    found = blocks.from_lines(table(spark, sf_dir, "documents")).select("doc_id", "block_id", "text")
+    cache = analysers.to_recheck(found.filter("doc_id % 2 = 0"), found.limit(0).select(F.lit("").alias("cache_key")), "grammar", "1")[0].select("cache_key").distinct()
+    return analysers.to_recheck(found, cache, "grammar", "1")[0].select("doc_id", "block_id")
+
+
+@query("SELECT p_partkey % 50 AS doc_id, count(*) AS \"references\", round(avg(2026 - (1990 + p_size % 30)), 2) AS mean_age, 1.0::DOUBLE AS doi_share, max(1990 + p_size % 30)::INT AS newest FROM part GROUP BY 1")
+def source_profile(spark, sf_dir):
+    return analysers.source_profile(bibliography.harvest(derived_references(spark, sf_dir)), 2026)
