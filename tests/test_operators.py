@@ -1,6 +1,6 @@
 import random
 
-from foliograph.operators import bibliography, blocks, citations, enrich, exclusions, floats, languages, metrics, pdf, sections, segments
+from foliograph.operators import analysers, bibliography, blocks, citations, enrich, exclusions, floats, languages, metrics, pdf, sections, segments
 from foliograph.plans import stages
 from pyspark.sql import functions as F
 import pytest
@@ -159,3 +159,28 @@ def test_stages():
     assert results["enrich"] == 2 and results["aggregate"] == "sum" and status["format"] == "failed" and status["similarity"] == "skipped"
     results, log = stages.run({"parse": lambda r: 1 / 0})
     assert [x[1] for x in log] == ["failed"]
+
+
+def test_findings(spark):
+    rows = [(1, "style.a", "minor", 0, 5, "format"), (1, "style.b", "major", 4, 9, "format"), (1, "style.a", "minor", 9, 12, "format"), (1, "aigt.x", "critical", 0, 5, "aigt")]
+    f = spark.createDataFrame(rows, "doc_id long, rule_id string, severity string, start int, end int, module string")
+    got = sorted((r.family, r.start, r.end, r.severity, r.merged) for r in analysers.merge_findings(f).collect())
+    assert got == [("aigt", 0, 5, "critical", 1), ("style", 0, 9, "major", 2), ("style", 9, 12, "minor", 1)]
+    assert [(r.module, r.penalty) for r in analysers.scores(f).collect()] == [("format", 5.0)]
+
+
+def test_rules_and_numbering(spark):
+    b = frame(spark, [(1, 0, "heading", 1, "Wstęp.", 1, []), (1, 1, "paragraph", None, "Zrobiłem to w", 1, []), (1, 2, "paragraph", None, "Bez błędów", 1, [])])
+    assert {(r.rule_id, r.block_id) for r in analysers.check_blocks(b).collect()} == {("heading-dot", "b0001"), ("orphan-letter", "b0002"), ("first-person", "b0002")}
+    fl = spark.createDataFrame([(1, "figure", "f001", "1", []), (1, "figure", "f002", "3", ["b1"])], "doc_id long, kind string, float_id string, number string, referenced_by array<string>")
+    assert [(r.float_id, r.before) for r in analysers.numbering_gaps(fl).collect()] == [("f002", 1)]
+    assert [r.float_id for r in analysers.unmentioned(fl).collect()] == ["f001"]
+    c = spark.createDataFrame([(1, "c1", "numeric", ["1"], 0), (1, "c2", "numeric", ["4"], 5), (1, "c3", "numeric", ["2"], 9)], "doc_id long, citation_id string, style string, keys array<string>, start int")
+    assert [r.citation_id for r in analysers.numbering_order(c).collect()] == ["c2"]
+    r = spark.createDataFrame([(1, "r1", "T", 2000, None), (1, "r2", "t", 2000, None), (1, "r3", "u", None, "10.1/a")], "doc_id long, ref_id string, title string, year int, doi string")
+    assert [x.ref_ids for x in citations.duplicate_references(r).collect()] == [["r1", "r2"]]
+
+
+def test_other_detector(spark):
+    b = frame(spark, [(1, 0, "paragraph", None, "x" * 50, 1, [])])
+    assert languages.primary_language(b, detector=lambda c: F.when(F.length(c) > 3, "en")).first().language_primary == "en"

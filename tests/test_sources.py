@@ -5,7 +5,8 @@ import zipfile
 import pytest
 from foliograph import cli, schema
 from foliograph.config import Settings
-from foliograph.sources import bibtex, docx, files, latex
+from foliograph.functions import register
+from foliograph.sources import bibtex, docx, files, latex, registry
 from foliograph.sources import pdf as pdf_source
 from foliograph.streaming import ingest
 
@@ -170,3 +171,17 @@ def test_stream(spark, tmp_path):
 def test_pdf_is_a_plug_in(spark):
     with pytest.raises(NotImplementedError):
         pdf_source.tables(spark.range(1))
+
+
+def test_registry(spark):
+    df = spark.createDataFrame([("a", "one.docx", "docx", build(BODY)), ("b", "two.tex", "latex", b"\\section{One}\nText.")], "doc_id string, filename string, source_format string, content binary")
+    got = {(r.doc_id, r.type, r.text) for r in registry.parse(df).collect()}
+    assert ("b", "heading", "One") in got and ("b", "paragraph", "Text.") in got and ("a", "heading", "Bibliografia") in got
+
+
+def test_sql_functions(spark):
+    register.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT c.raw, c.start FROM VALUES ('ab [1] c [2-3]') AS t(x), LATERAL citations_of(x) c").collect()] == [("[1]", 3), ("[2-3]", 9)]
+    assert spark.sql("SELECT size(split_sentences('Raz. Dwa.')) AS n").first().n == 2
+    assert spark.sql("SELECT s.text FROM LATERAL sentences_of('Raz. Dwa.') s").count() == 2
+    assert spark.sql("SELECT fields['title'] AS t FROM bib_entries_of('@misc{k, title={T}}')").first().t == "T"
