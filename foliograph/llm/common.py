@@ -24,6 +24,11 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def as_rows(df: DataFrame) -> DataFrame:
+    """(row): each row as one struct, so that no helper column can clash with one of its own."""
+    return df.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row"))
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text: equal texts share them, and no two of 10^12 texts are likely to."""
     return F.unhex(F.md5(text))

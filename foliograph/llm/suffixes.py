@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.llm.common import lean, table, text_key, text_of, with_small_batches
+from foliograph.llm.common import as_rows, lean, table, text_key, text_of, with_small_batches
 from foliograph.session import stored
 
 LENGTH, GRAM = 400, 64
+#: The pipeline's passages: at least so many words, found by strings of so many bytes (50 words of three letters and their blanks).
+PASSAGE_WORDS, PASSAGE_BYTES, PASSAGE_GRAM = 50, 200, 40
 SEGMENT = 1 << 18
 RUN_BYTES = 6 << 20
 CROWDED = 16_384
@@ -380,9 +382,9 @@ def _reach_of_windows(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
     """(tkey, spans): for each text with repeated strings, where they lie (array of start and end in bytes, in no order, overlapping)."""
-    keyed = with_small_batches(docs).select(text_key(text_of(text_col)).alias("tkey"), F.xxhash64(id_col).alias("dkey"), text_of(text_col).alias("text"))
+    keyed = with_small_batches(docs).select(text_key(text_of(text_col)).alias("tkey"), F.xxhash64(*([id_col] if id_col else []), text_col).alias("dkey"), text_of(text_col).alias("text"))
     long = keyed.filter(F.octet_length("text") >= length)
     found = stored(occurrences(long, length, gram), "suffix-blocks")
     kinds = stored(found.groupBy("akey", "bhash").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("tkey", "dkey", "pos", "n", "anchor")).alias("one")), "suffix-kinds")
@@ -474,27 +476,36 @@ def op9_suffixes(spark, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
-def suffix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, their texts without repeated strings (whole characters only) and n_chars to match; rows emptied stay."""
-    spans = repeated_spans(docs)
-    marked = docs.withColumn("__tkey", text_key(text_of("text")))
-    joined = marked.join(spans.select(F.col("tkey").alias("__tkey"), F.col("spans").alias("__spans")), "__tkey", "left").drop("__tkey")
+def passage_spans(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Of spans, drawn in to whole characters, those that hold at least `words` words."""
+    return [(s, e) for s, e in whole_characters(raw, spans) if len(raw[s:e].split()) >= words]
+
+
+def without_passages(docs: DataFrame, length: int = PASSAGE_BYTES, gram: int = PASSAGE_GRAM, words: int = PASSAGE_WORDS, text_col: str = "text") -> DataFrame:
+    """(row, kept): each row as a struct, and its text without repeated passages (null where nothing is cut)."""
+    spans = repeated_spans(docs, length, gram, None, text_col).select(F.col("tkey").alias("key"), "spans")
+    rows = as_rows(docs).withColumn("tkey", text_key(text_of(F.col("row").getField(text_col))))
+    schema = rows.select("row").schema.add("kept", "string")
 
     @lean
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = []
-            for raw, found in zip(_bytes_of(b.column(0)), b.column(1), strict=True):
-                spans = whole_characters(raw, united(found.as_py()))
-                kept.append(without(raw, spans))
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(kept, pa.binary()).cast(pa.string())], [*b.schema.names[2:], "__kept"])
-
-    changed = joined.filter("__spans IS NOT NULL")
-    schema = docs.schema.fields
-    plain = joined.filter("__spans IS NULL").select(*docs.columns)
-    out_schema = docs.select("*").schema.add("__kept", "string")
-    shorter = changed.select(F.col("text").alias("__raw"), "__spans", *docs.columns).mapInArrow(cut, out_schema)
-    shorter = shorter.withColumn("text", F.col("__kept"))
-    if "n_chars" in docs.columns:
-        shorter = shorter.withColumn("n_chars", F.length("__kept").cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(shorter.select(*(f.name for f in schema)))
+            kept: list[bytes | None] = []
+            for raw, found in zip(_bytes_of(b.column(0).field(text_col)), b.column(1), strict=True):
+                cut = passage_spans(raw, united(found.as_py()), words) if found.is_valid else []
+                kept.append(without(raw, cut) if cut else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()).cast(pa.string())], ["row", "kept"])
+
+    return rows.join(spans, rows.tkey == spans.key, "left").select("row", "spans").mapInArrow(run, schema)
+
+
+def suffix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts without the repeated passages, and n_chars to match; rows emptied stay.
+
+    A passage is a maximal run of bytes covered by strings of PASSAGE_BYTES that also start
+    elsewhere; it goes, whole characters only, if it holds at least PASSAGE_WORDS words. Unlike the
+    digest of LENGTH bytes this meets passages of 50 words, most of which are under 400 bytes.
+    """
+    cut, kept, row = without_passages(docs), F.col("kept"), F.col("row")
+    made = {"text": lambda c: F.coalesce(kept, c), "n_chars": lambda c: F.when(kept.isNull(), c).otherwise(F.length(kept).cast(docs.schema["n_chars"].dataType))}
+    return cut.select(*(made.get(c, lambda x: x)(row.getField(c)).alias(c) for c in docs.columns))

@@ -42,24 +42,41 @@ def test_simhash_keeps_the_first_of_each_group(stages):
     assert sorted(r.doc_id for r in stages[2][2]) == sorted(set(root.values()))
 
 
-def test_suffixes(stages):
-    length, seen = 400, {}
-    raws = {r.doc_id: r.text.encode() for r in stages[2][2]}
+def plain_passages(raws, length, words):
+    """Each text without the runs of bytes that repeated strings cover and that hold enough words."""
+    seen = {}
     for i, raw in raws.items():
         for p in range(len(raw) - length + 1):
-            seen.setdefault(hash(raw[p : p + length]), []).append((i, p))
-    gone = {i: np.zeros(len(raw) + 1, bool) for i, raw in raws.items()}
+            seen.setdefault(raw[p : p + length], []).append((i, p))
+    gone = {i: np.zeros(len(raw), bool) for i, raw in raws.items()}
     for places in seen.values():
         if len(places) > 1:
             for i, p in places:
                 gone[i][p : p + length] = True
-    for r in stages[3][2]:
-        raw, g = raws[r.doc_id], gone[r.doc_id]
-        for p in range(1, len(raw)):  # a character of which one half is covered stays
-            if raw[p] & 0xC0 == 0x80 and g[p] != g[p - 1]:
-                g[p - 1 : p + 1] = False
-        assert r.text.encode() == bytes(b for b, x in zip(raw, g) if not x)
-        assert r.n_chars == len(r.text)
+    out = {}
+    for i, raw in raws.items():
+        g = gone[i]
+        edge = np.flatnonzero(np.diff(np.r_[0, g.astype(int), 0]))
+        for s, e in zip(edge[::2], edge[1::2]):
+            end = e
+            while s < e and raw[s] & 0xC0 == 0x80:  # a character of which one half is covered stays
+                g[s] = False
+                s += 1
+            while e < len(raw) and raw[e] & 0xC0 == 0x80:
+                e -= 1
+            g[e:end] = False
+            if len(raw[s:e].split()) < words:
+                g[s:e] = False
+        out[i] = bytes(b for b, x in zip(raw, g) if not x)
+    return out
+
+
+def test_suffixes(stages):
+    raws = {r.doc_id: r.text.encode() for r in stages[2][2]}
+    want = plain_passages(raws, 200, 50)
+    assert {r.doc_id: r.text.encode() for r in stages[3][2]} == want
+    assert all(r.n_chars == len(r.text) for r in stages[3][2])
+    assert sum(want[i] != raws[i] for i in raws) >= 3
 
 
 def test_decontamination(spark, stages):

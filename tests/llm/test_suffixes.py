@@ -95,7 +95,7 @@ def test_empty(spark):
 
 
 def test_stage(spark):
-    long = "Ż" * 3 + " passage number {} " * 30
+    long = "Ż" * 3 + " passage number {} " * 30  # 90 words
     texts = [long, "before " + long, "é" + long[1:] + "|after", "short", None]
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r for r in suffix_stage(spark, df, "").collect()}
