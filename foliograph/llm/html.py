@@ -1,21 +1,33 @@
 """HTML extraction by equivalence-class template deduction.
 
 A page is a sequence of tokens: opening tags, named by their path of tags (with class or id), and
-text blocks outside the article, named by path and text. Over the pages of one host each token
-has an occurrence vector, its count on each page. Tokens with one vector form a class; sums of
-hashes of (page, count) stand for vectors, so hosts of any size are grouped by partial sums and
-no task sees a whole host. Classes that cover at least SUPPORT of a host's pages (and MIN_PAGES)
-are its candidates. On each page, from the most frequent class on, a class is valid if its tokens
-come in its order, round after round, and each round lies within one slot of the classes before;
-valid classes nest into the page's template. Text that is a token of a valid class belongs to the
-template; all other text lies in slots. Of the slots, those under menus, headers, footers,
-sidebars, notices, adverts, forms and comments (by tag, role, class or id) are dropped; if the
-page marks its article (`article` or `main`), only slots inside it are taken, and text there is
-never taken for template; without one, slots whose text is all links are dropped too.
+text blocks, named by path and text. Over the pages of one host each token has an occurrence
+vector, its count on each page. Tokens with one vector form a class; sums of hashes of (page,
+count) stand for vectors, so hosts of any size are grouped by partial sums and no task sees a
+whole host. Classes that cover at least SUPPORT of a host's pages (and MIN_PAGES) are its
+candidates. On each page, from the most frequent class on, a class is valid if its tokens come in
+its order, round after round, and each round lies within one slot of the classes before; valid
+classes nest into the page's template. Text that is a token of a valid class belongs to the
+template; all other text lies in slots.
+
+Text is a candidate only if it stands at one place on all pages that have it: among the blocks of
+its path, counted from the first or from the last. A line that merely recurs between others is
+no template. Inside `article` or `main` it must also be on at least ARTICLE_SUPPORT of the host's
+pages (and ARTICLE_PAGES). An article of which the template
+would take over half stays whole, so a host of copies keeps its text; so does other text if
+nothing else of the page were left.
+
+Of the slots, those under menus, headers, footers, sidebars, notices, adverts, forms and comments
+are dropped. These are known by tag, role, or a whole class or id, by the first word of a compound
+one if that says what it holds (`comments-area`), and outside the article by its last word
+(`legal-notice`). An article's own header stays. If the page marks
+its article, only slots inside it are taken, unless its articles are several cards with less text
+than the slots outside; without one, slots whose text is all links are dropped too.
 
 Defined results: a null or empty page gives no text; a null or unreadable url makes a page a host
-of its own; a null id is carried; repeated rows each give their text; unclosed tags end with the
-page; an empty table gives no rows; other columns are not read.
+of its own; a null id is carried; repeated rows each give their text and count as pages; unclosed
+tags end with the page; an empty table gives no rows; other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -23,6 +35,7 @@ from __future__ import annotations
 import bisect
 import html as charrefs
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +48,7 @@ from foliograph.llm.common import lean, table, text_key, with_small_batches
 from foliograph.session import stored
 
 SUPPORT, MIN_PAGES = 0.5, 3
-#: Text of template tokens is at most this long; longer blocks are always slots.
-TEMPLATE_TEXT = 300
+ARTICLE_SUPPORT, ARTICLE_PAGES = 0.9, 8
 
 # Kinds of HTML elements, and names that mark what is not the article.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -50,7 +62,13 @@ ASIDE_NAMES = {
     "subscription", "signup", "login", "sidebar", "side", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "foot", "comment", "comments", "reply", "replies", "discussion", "disqus", "related", "recommended",
     "share", "sharing", "social", "widget", "toolbar", "pagination", "pager", "legal", "copyright", "complementary", "contentinfo", "search", "form",
 }
+#: Names that inside an article are parts of it.
+OF_ARTICLES = {"header", "masthead"}
+#: First words of compound names that say what the element holds.
+HOLDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "cookie", "newsletter", "sidebar", "sponsored"}
 ARTICLE_TAGS = {"article", "main"}
+#: First words of compound names that tell what a page has, not what an element is.
+TELLS = {"has", "is", "no", "with", "without"}
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME = re.compile(r"[a-z]+")
 
@@ -60,7 +78,7 @@ class Block:
     path: int
     text: str
     aside: bool
-    article: bool
+    article: int  # the outermost article or main element around it, by number from 1
     linked: bool
 
 
@@ -112,9 +130,22 @@ def _hash(token: str) -> int:
     return xxhash.xxh64_intdigest(token) - (1 << 63)
 
 
-#: name, hash of the path down to it, whether it or one above is an aside, an article, a link
-Element = tuple[str, int, bool, bool, bool]
-ROOT: Element = ("", 0, False, False, False)
+#: name, hash of the path down to it, whether it or one above is an aside, the outermost article, whether it or one above is a link
+Element = tuple[str, int, bool, int, bool]
+ROOT: Element = ("", 0, False, 0, False)
+
+
+def _is_aside(name: str, found: dict[str, str], in_article: bool) -> bool:
+    """Whether a tag with these attributes holds no part of the article."""
+    if name in ("html", "body"):
+        return False
+    if name in ASIDE_TAGS or (name == "header" and not in_article):
+        return True
+    marks = {w for a in ("id", "class", "role") for w in found.get(a, "").lower().split()}
+    parts = [p for p in map(_NAME.findall, marks) if p and p[0] not in TELLS]
+    if in_article:
+        return any(p[0] in HOLDS or (len(p) == 1 and p[0] in ASIDE_NAMES - OF_ARTICLES) for p in parts)
+    return any(p[0] in HOLDS or p[-1] in ASIDE_NAMES for p in parts)
 
 
 def parse(page: str) -> list[int | Block]:
@@ -122,7 +153,7 @@ def parse(page: str) -> list[int | Block]:
     out: list[int | Block] = []
     stack: list[Element] = [ROOT]
     part: list[str] = []
-    linked = True
+    linked, articles = True, 0
 
     def block() -> None:
         nonlocal linked
@@ -161,32 +192,26 @@ def parse(page: str) -> list[int | Block]:
         if name not in INLINE:
             while stack[-1][0] in INLINE:  # formatting left open does not hold blocks
                 stack.pop()
-        mark, names = "", set()
-        if attrs:
-            found = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)}
-            mark = "".join(f"{s}{found[a]}" for a, s in (("id", "#"), ("class", ".")) if a in found)
-            names = {w for a in ("id", "class", "role") for w in _NAME.findall(found.get(a, "").lower())}
+        found = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(attrs)} if attrs else {}
+        mark = "".join(f"{s}{found[a]}" for a, s in (("id", "#"), ("class", ".")) if a in found)
         step = name + (mark if name not in ("a", "img") else "")
-        _, path, in_aside, in_article, in_link = stack[-1]
-        aside = name in ASIDE_TAGS or bool(names & ASIDE_NAMES and name not in ("html", "body")) or (name == "header" and not in_article)
+        _, path, in_aside, article, in_link = stack[-1]
+        aside = _is_aside(name, found, article > 0)
         path = _hash(f"{path}>{step}")
+        if name in ARTICLE_TAGS and not article:
+            articles += 1
+            article = articles
         if name not in INLINE or name == "a":
             out.append(path)
         if name not in VOID:
-            stack.append((name, path, in_aside or aside, in_article or name in ARTICLE_TAGS, in_link or name == "a"))
+            stack.append((name, path, in_aside or aside, article, in_link or name == "a"))
     block()
     return out
 
 
 def tokens(parsed: list[int | Block]) -> list[tuple[int, Block | None]]:
     """Hashes of the template's candidate tokens in order, and the block of those that are text."""
-    out = []
-    for t in parsed:
-        if isinstance(t, int):
-            out.append((t, None))
-        elif not t.article and len(t.text) <= TEMPLATE_TEXT:
-            out.append((_hash(f"{t.path}\0{t.text}"), t))
-    return out
+    return [(t, None) if isinstance(t, int) else (_hash(f"{t.path}\0{t.text}"), t) for t in parsed]
 
 
 def valid_template(page: list[int], classes: list[list[int]]) -> set[int]:
@@ -215,18 +240,24 @@ def _between(cuts: list[int], a: int, b: int) -> bool:
     return bisect.bisect_left(cuts, a) != bisect.bisect_right(cuts, b)
 
 
+def _size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
 def main_text(page: str | None, classes: list[list[int]]) -> str:
     """The article of a page, given its host's classes from the most frequent on."""
-    parsed = parse(page or "")
-    named = tokens(parsed)
+    named = tokens(parse(page or ""))
     template = valid_template([h for h, _ in named], classes)
-    fixed = {id(b) for h, b in named if b is not None and h in template}
-    blocks = [b for b in parsed if isinstance(b, Block) and not b.aside]
-    if any(b.article for b in blocks):
-        blocks = [b for b in blocks if b.article]
-    else:
-        blocks = [b for b in blocks if id(b) not in fixed and not b.linked]
-    return "\n".join(b.text for b in blocks)
+    free = [(b, h not in template) for h, b in named if b is not None and not b.aside]
+    inside = [b for b, _ in free if b.article]
+    slots = [b for b, in_slot in free if b.article and in_slot]
+    if 2 * _size(slots) < _size(inside):
+        slots = inside
+    outside = [b for b, in_slot in free if not b.article and in_slot and not b.linked]
+    if not slots and not outside:
+        outside = [b for b, _ in free if not b.linked]
+    cards = len({b.article for b in slots}) > 1 and _size(outside) > _size(slots)
+    return "\n".join(b.text for b in (outside if cards or not slots else slots))
 
 
 def hosts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -238,28 +269,37 @@ def hosts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
 
 def templates(paged: DataFrame) -> DataFrame:
     """(host, classes): the candidate classes of each host with at least MIN_PAGES pages, from the most frequent on, each in the order of its tokens' mean places."""
-    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("times", pa.int64()), ("place", pa.float64())])
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("times", pa.int64()), ("place", pa.int64()), ("ahead", pa.int64()), ("behind", pa.int64()), ("inside", pa.bool_())])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            rows: list[tuple] = []
             for host, page, key in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                seen: dict[int, list[int]] = {}
-                for i, (h, _) in enumerate(tokens(parse(page.as_py()))):
-                    seen.setdefault(h, []).append(i)
-                for h, at in seen.items():
-                    for c, v in zip(cols, (host, key, h, len(at), float(at[0])), strict=True):
-                        c.append(v)
+                named = tokens(parse(page.as_py()))
+                left = Counter(t.path for _, t in named if t is not None)
+                done: Counter[int] = Counter()
+                seen: dict[int, list] = {}  # times, place, blocks of its path before the first and behind the last, whether in an article
+                for i, (h, t) in enumerate(named):
+                    own = seen.setdefault(h, [0, i, 0 if t is None else done[t.path], 0, t is not None and t.article > 0])
+                    own[0] += 1
+                    if t is not None:
+                        done[t.path] += 1
+                        own[3] = left[t.path] - done[t.path]
+                rows += [(host, key, h, *own) for h, own in seen.items()]
+            cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     sizes = paged.groupBy("host").count().withColumnRenamed("count", "pages").filter(F.col("pages") >= MIN_PAGES)
-    rows = paged.select("host", "html", F.xxhash64("page_id", "url", "html").alias("page")).mapInArrow(run, "host string, page long, token long, times long, place double")
+    rows = paged.select("host", "html", F.xxhash64("page_id", "url", "html").alias("page")).mapInArrow(run, "host string, page long, token long, times long, place long, ahead long, behind long, inside boolean")
     h = F.xxhash64("page", "times")
     vectors = rows.groupBy("host", "token").agg(
-        F.sum(h.bitwiseAND((1 << 31) - 1)).alias("low"), F.sum(F.shiftrightunsigned(h, 33)).alias("high"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place")
+        F.sum(h.bitwiseAND((1 << 31) - 1)).alias("low"), F.sum(F.shiftrightunsigned(h, 33)).alias("high"), F.count(F.lit(1)).alias("support"), F.avg("place").alias("place"),
+        F.max("inside").alias("inside"), ((F.min("ahead") == F.max("ahead")) | (F.min("behind") == F.max("behind"))).alias("at_one_place"),
     )
-    often = vectors.join(sizes, "host").filter((F.col("support") >= MIN_PAGES) & (F.col("support") >= SUPPORT * F.col("pages")))
+    support, pages = F.col("support"), F.col("pages")
+    steady = (support >= ARTICLE_PAGES) & (support >= ARTICLE_SUPPORT * pages)
+    often = vectors.filter((support >= MIN_PAGES) & F.col("at_one_place")).join(sizes, "host").filter((support >= SUPPORT * pages) & (~F.col("inside") | steady))
     classes = often.groupBy("host", "support", "low", "high").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda t: t.token).alias("members"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("s"), (-F.size("members")).alias("n"), F.col("members"))))
     return classes.groupBy("host").agg(F.transform(ranked, lambda c: c.members).alias("classes"))
