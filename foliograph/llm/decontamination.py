@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliograph.llm.common import LOWER, UPPER, ascii_lower, table, text_key, text_of
+from foliograph.llm.common import LOWER, UPPER, as_rows, ascii_lower, table, text_key, text_of
 from foliograph.session import stored
 
 SHINGLE = 3
@@ -153,7 +153,7 @@ FROM doc LEFT JOIN pos USING (rid) LEFT JOIN ids USING (rid)
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows whose texts are contaminated; all others stay as they are."""
+    """Drop the rows whose texts are contaminated; all others stay as they are, with all columns, whatever their names."""
     bad = overlaps(docs, table(spark, sf_dir, "benchmark")).filter(contaminated()).select("text_id").distinct()
-    marked = docs.withColumn("__text_id", text_key(text_of("text")))
-    return marked.join(bad, marked["__text_id"] == bad["text_id"], "left_anti").drop("__text_id")
+    rows = as_rows(docs).withColumn("key", text_key(text_of(F.col("row").getField("text"))))
+    return rows.join(bad, rows.key == bad.text_id, "left_anti").select("row.*")

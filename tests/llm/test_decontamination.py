@@ -4,7 +4,7 @@ import re
 
 import pytest
 from foliograph.llm import decontamination as d
-from foliograph.llm.decontamination import contaminated, overlaps
+from foliograph.llm.decontamination import contaminated, decontamination_stage, overlaps
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,14 @@ def test_empty(spark):
     assert overlaps(docs.limit(0), items).count() == 0
     assert [r.n_hit for r in overlaps(docs, items.limit(0)).collect()] == [0]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_stage_keeps_columns(spark, tmp_path):
+    item = " ".join(f"word{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, item), (1, "clean"), (2, "before " + item), (None, None), (3, "clean"), (3, "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __text_id", "2 AS text_id", "3 AS row", "4 AS key", "5 AS `a.b`")
+    out = decontamination_stage(spark, df, str(tmp_path))
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.text_id) for r in out.collect()) == [(0, "", 2), (1, "clean", 2), (3, "clean", 2), (3, "clean", 2)]
+    assert decontamination_stage(spark, df.limit(0), str(tmp_path)).count() == 0

@@ -3,7 +3,7 @@ import re
 
 import pytest
 import xxhash
-from foliograph.llm.simhash import components, fingerprint, links, near_duplicates
+from foliograph.llm.simhash import components, fingerprint, links, near_duplicates, simhash_stage
 from pyspark.sql import functions as F
 
 
@@ -42,8 +42,8 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-@pytest.mark.parametrize("crowded", [1, 4, 1000])
-def test_links_find_every_component(spark, crowded):
+@pytest.mark.parametrize(("crowded", "one_chain"), [(1, 1 << 24), (4, 1 << 24), (1000, 1 << 24), (2, 0), (1000, 0)])
+def test_links_find_every_component(spark, crowded, one_chain):
     rng = random.Random(crowded)
     values = set()
     for _ in range(40):
@@ -55,7 +55,7 @@ def test_links_find_every_component(spark, crowded):
     values = sorted(signed(x) for x in values)
     pairs = [(a, b) for a in values for b in values if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2]
     df = spark.createDataFrame([(x,) for x in values], "fp long")
-    edges = links(df, crowded=crowded)
+    edges = links(df, crowded=crowded, one_chain=one_chain)
     found = {(r.a, r.b) for r in edges.collect()}
     assert found <= set(pairs)
     want = union(values, pairs)
@@ -70,6 +70,16 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_stage_decides_by_row(spark):
+    a, b, c = "a b c d e", "other words stand here now", "something else is said in this"
+    rows = [(1, a), (2, a), (2, b), (3, b), (5, c), (5, c), (None, c), (None, "alone in the dark"), (None, "alone in the dark"), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __at", "2 AS row", "3 AS text_id", "4 AS n", "5 AS `a.b`")
+    out = simhash_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, a), (2, b), (5, c), (0, "alone in the dark"), (7, "")])
+    assert simhash_stage(spark, df.limit(0), "").count() == 0
+
+
 def test_near_duplicates(spark):
     rows = [(3, "a b c d"), (1, "A b  c d"), (2, None), (9, ""), (4, "other words stand here"), (4, "other words stand here"), (None, "alone in the dark")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x"))

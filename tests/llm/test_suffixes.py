@@ -6,6 +6,8 @@ from foliograph.llm import suffixes as s
 from foliograph.llm.suffixes import blocks, common_prefix, encode_run, merge_runs, removal_digest, suffix_stage, whole_characters
 from pyspark.sql import functions as F
 
+from tests.llm.plain import plain_passages
+
 
 def brute(texts, length):
     seen = {}
@@ -103,3 +105,29 @@ def test_stage(spark):
     assert out[2].text == "é|after" and out[2].n_chars == 7
     assert out[3].text == "short" and out[4].text is None
     assert whole_characters("aéb".encode(), [(0, 2)]) == [(0, 1)]
+
+
+def test_stage_keeps_columns(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, "a " + passage), (1, passage + " b"), (None, passage), (4, passage[:190]), (4, "alone"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS __spans", "2 AS spans", "3 AS row", "4 AS tkey", "5 AS kept", "6 AS `a.b`")
+    out = suffix_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "", r.spans, r.kept) for r in out.collect()) == [(0, "", 2, 5), (1, " b", 2, 5), (1, "a ", 2, 5), (4, "alone", 2, 5), (4, passage[:190], 2, 5), (5, "", 2, 5)]
+    assert suffix_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_stage_removes_passages_of_fifty_words(spark):
+    """Against a plain reading: runs covered by 200-byte strings, whole characters, at least 50 words."""
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice(["é", "ab", "wörd", "longer"]) + str(rng.randrange(10**4)) for _ in range(n))
+    passages = [say(n) for n in (30, 45, 51, 55, 80)] + ["w " * 260]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(say(rng.randrange(0, 40)) if k % 2 else rng.choice(passages) for k in range(rng.randrange(0, 6)))))
+    raws = {i: t.encode() for i, t in rows}
+    want = plain_passages(raws, 200, 50)
+    out = {r.doc_id: r for r in suffix_stage(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")), "").collect()}
+    assert {i: r.text.encode() for i, r in out.items()} == want
+    assert all(r.n_chars == len(r.text) for r in out.values())
+    assert sum(want[i] != raws[i] for i in raws) > 20
