@@ -4,11 +4,12 @@ Documents become pieces of at most `capacity` tokens (only the first piece of a
 be shorter). Each hash partition of pieces is packed by best-fit decreasing, and dual feasible
 functions give a lower bound of the bins that its sizes need. A partition that meets its bound
 and the bound of its volume is certified and done. The others have gaps and exchange their
-pieces: POOL partitions become one, which packs them again; a repacking that needs no fewer bins
-is not taken. (A partition that meets a bound over its volume has the fewest bins for its own
+pieces: up to POOL neighbouring partitions become one, which packs them again; a repacking that
+needs no fewer bins is not taken. (A partition that meets a bound over its volume has the fewest bins for its own
 pieces, yet others may hold what fills them.) A partition too large to be pooled whole keeps its
 full bins and exchanges the pieces of its other bins. Rounds end when the bins meet the bound of
-all sizes together, when one pool is left, or when no two fit into a pool of MAX_POOLED.
+all sizes together, when one partition is left, or when two as large as the largest do not fit
+into MAX_POOLED. The driver sees one row a round.
 
 Defined results: null and empty texts have only the end token; a null id is carried; repeated
 rows are packed each; an empty table gives no rows; other columns are not read.
@@ -159,24 +160,16 @@ def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         out = stored(now.groupBy("part").applyInPandas(_packer(capacity), schema), "packed")
         finished.append(out.filter("done"))
         left = out.filter(~F.col("done"))
-        parts = out.groupBy("part").agg(F.count_if(~F.col("done")).alias("count"), F.max("open_bins").alias("open_bins"), F.max("done_bins").alias("done_bins")).orderBy("part").collect()  # one row a partition
-        done_bins += sum(r.done_bins for r in parts)
-        open_parts = [r for r in parts if r["count"]]
-        first_part += n_parts
-        if len(open_parts) <= 1 or done_bins + sum(r.open_bins for r in parts) == bound:
+        parts = out.groupBy("part").agg(F.count_if(~F.col("done")).alias("left"), F.max("open_bins").alias("open"), F.max("done_bins").alias("closed"))
+        state = parts.agg(F.count_if(F.col("left") > 0).alias("parts"), F.max("left").alias("largest"), F.sum("open").alias("open"), F.sum("closed").alias("closed")).first()
+        done_bins += state.closed or 0
+        if (state.parts or 0) <= 1 or done_bins + state.open == bound:
             break
-        pools, load, target = 0, MAX_POOLED + 1, {}
-        size = 0
-        for r in open_parts:
-            if size == POOL or load + r["count"] > MAX_POOLED:
-                pools, load, size = pools + 1, 0, 0
-            target[r.part] = first_part + pools
-            load, size = load + r["count"], size + 1
-        if pools == len(open_parts):
-            break  # no two of them fit into one pool
-        n_parts = pools
-        moves = pieces.sparkSession.createDataFrame(list(target.items()), "part long, pool long")
-        now = left.join(F.broadcast(moves), "part").select(*(f.name for f in pieces.schema), F.col("pool").alias("part"), "sequence_id")
+        pool = min(POOL, MAX_POOLED // state.largest)  # by arithmetic on part numbers: no list of parts is gathered
+        if pool < 2:
+            break  # no two of the largest fit into one pool
+        now = left.withColumn("part", F.lit(first_part + n_parts) + F.floor((F.col("part") - first_part) / pool)).select(*(f.name for f in pieces.schema), "part", "sequence_id")
+        first_part, n_parts = first_part + n_parts, math.ceil(n_parts / pool)
     finished.append(left)
     every = functools.reduce(DataFrame.unionByName, finished).select(*(f.name for f in pieces.schema), "sequence_id")
     return every.groupBy(F.pmod(F.xxhash64("sequence_id"), F.lit(max(8, n // 100_000))).alias("deal")).applyInPandas(_placed, f"{PIECES}, sequence_id long, offset long")
