@@ -8,21 +8,28 @@ each round halves the stretches still to be split, so the rows made are those of
 
 The template writes a turn as `<s>[role]text</s>`. Inside roles and texts the characters
 `\\`, `<`, `[` and `]` are written as `\\s`, `\\l`, `\\b` and `\\c`, so no control string can
-occur there and reading back is exact. The loss mask covers the texts of assistant turns.
+occur there and reading back is exact. The loss mask covers the texts of assistant turns. Both are
+linear in a conversation's length. The `conversations` table names no parents, so its query answers
+each row by the next: one branch, on which ranking has nothing to choose.
 
 Defined results: a null text or role is empty; a parent that does not exist makes a root;
 messages on a cycle of parents have no root and so no path; of messages with one id in a tree
 the first by (role, text) counts; a null tree id is a tree of its own; ties of score go to the
-deeper leaf, then to the smaller id; an empty table gives no rows; other columns are not read.
+deeper leaf, then to the smaller id; an empty table gives no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliograph.llm.common import table, text_of
+from foliograph.llm.common import lean, table, text_of, with_small_batches
 from foliograph.session import stored
 
 #: The escapes, in the order of writing.
@@ -36,12 +43,6 @@ def escaped(text: Column) -> Column:
     return text
 
 
-def unescaped(text: Column) -> Column:
-    for plain, code in reversed(ESCAPES):
-        text = F.replace(text, F.lit(code), F.lit(plain))
-    return text
-
-
 def _jumps(nodes: DataFrame) -> list[DataFrame]:
     """Tables (tree, id, up, gain): `up` is the ancestor 2^k levels above, `gain` the scores of those 2^k messages from id upwards."""
     tables = [stored(nodes.filter("up IS NOT NULL").select("tree", "id", "up", F.col("score").alias("gain")), "chat-jump")]
@@ -98,32 +99,37 @@ def formatted(paths: DataFrame) -> DataFrame:
     """(tree, rank, formatted, loss): one string for each path, and the code-point spans [start, end) of assistant texts in it."""
     role, text = escaped(F.col("role")), escaped(F.col("text"))
     head = F.concat(F.lit(START + "["), role, F.lit("]"))
-    turn = F.struct("depth", head.alias("head"), text.alias("body"), (F.col("role") == "assistant").alias("learn"))
-    per = paths.groupBy("tree", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    whole = F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit(END))), "")
-    size = lambda t: F.length(t.head) + F.length(t.body) + len(END)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    walk = F.aggregate(
-        "turns", start,
-        lambda s, t: F.struct(
-            (s.at + size(t)).alias("at"),
-            F.when(t.learn, F.concat(s.spans, F.array(F.struct((s.at + F.length(t.head)).alias("start"), (s.at + F.length(t.head) + F.length(t.body)).alias("end"))))).otherwise(s.spans).alias("spans"),
-        ),
-    )
-    return per.select("tree", "rank", whole.alias("formatted"), walk.spans.alias("loss"))
+    turns = paths.select("tree", "rank", "depth", head.alias("head"), text.alias("body"), (F.col("role") == "assistant").alias("learn"))
+    before = Window.partitionBy("tree", "rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)  # running sums: linear in the turns
+    size = F.length("head") + F.length("body") + len(END)
+    start = F.coalesce(F.sum(size.cast("long")).over(before), F.lit(0).cast("long")) + F.length("head")
+    turn = F.struct("depth", F.concat("head", "body", F.lit(END)).alias("said"), "learn", F.struct(start.alias("start"), (start + F.length("body")).alias("end")).alias("span"))
+    per = turns.select("tree", "rank", turn.alias("turn")).groupBy("tree", "rank").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    spans = F.transform(F.filter("turns", lambda t: t.learn), lambda t: t.span)
+    return per.select("tree", "rank", F.array_join(F.transform("turns", lambda t: t.said), "").alias("formatted"), spans.alias("loss"))
 
 
 def read_back(texts: DataFrame) -> DataFrame:
-    """texts with turns (array of role and text), parsed from `formatted`."""
-    parts = F.split("formatted", END)
-    whole = F.slice(parts, 1, F.size(parts) - 1)
-    turn = lambda p: F.struct(unescaped(F.substring(p, len(START) + 2, F.instr(p, "]") - len(START) - 2)).alias("role"), unescaped(F.substring(p, F.instr(p, "]") + 1, F.length(p))).alias("text"))
-    return texts.withColumn("turns", F.transform(whole, turn))
+    """texts with turns (array of role and text), parsed from `formatted`, and learnt, the texts under its loss mask."""
+    out_schema = T.StructType([*texts.select("tree", "rank", "formatted", "loss").schema, *T.StructType.fromDDL("turns array<struct<role: string, text: string>>, learnt array<string>")])
+    said = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+
+    def plain(text: str) -> str:
+        for char, code in reversed(ESCAPES):
+            text = text.replace(code, char)
+        return text
 
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            turns, learnt = [], []
+            for whole, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                parts = [t[len(START) + 1 :].partition("]") for t in whole.split(END)[:-1]]
+                turns.append([{"role": plain(role), "text": plain(text)} for role, _, text in parts])
+                learnt.append([plain(whole[s["start"] : s["end"]]) for s in spans])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(turns, said), pa.array(learnt, pa.list_(pa.string()))], [*b.schema.names, "turns", "learnt"])
 
-def loss_texts() -> Column:
-    """The texts under the loss mask, unescaped."""
-    return F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), (s.start + 1).cast("int"), (s.end - s.start).cast("int"))))
+    return with_small_batches(texts).select("tree", "rank", "formatted", "loss").mapInArrow(run, out_schema)
 
 
 #: The conversation that the contract adds: its texts are control strings of a common template.
@@ -143,7 +149,7 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     back = read_back(formatted(chosen_paths(reply_chain(rows))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
-    learnt = F.array_join(loss_texts(), "")
+    learnt = F.array_join("learnt", "")
     return back.select(
         F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(learnt).cast("long").alias("loss_chars"), F.sha2(learnt, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from foliograph.llm.chat import chosen_paths, formatted, loss_texts, op4_chat, read_back, reply_chain
+from foliograph.llm.chat import chosen_paths, formatted, op4_chat, read_back, reply_chain
 from pyspark.sql import functions as F
 
 SCHEMA = "tree long, id long, parent long, role string, text string, score double"
@@ -42,7 +42,7 @@ def test_paths(spark):
     for r in chosen_paths(df, 3).orderBy("depth").collect():
         got.setdefault((r.tree, r.rank), []).append((r.id, r.role, r.text))
     assert got == brute(messages, 3)
-    back = read_back(formatted(chosen_paths(df, 3))).withColumn("learnt", loss_texts()).collect()
+    back = read_back(formatted(chosen_paths(df, 3))).collect()
     assert {(r.tree, r.rank): [(t.role, t.text) for t in r.turns] for r in back} == {k: [x[1:] for x in v] for k, v in got.items()}
     assert {(r.tree, r.rank): r.learnt for r in back} == {k: [x[2] for x in v if x[1] == "assistant"] for k, v in got.items()}
 
