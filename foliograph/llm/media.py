@@ -2,12 +2,15 @@
 
 `wrap` stores bytes as samples of one PCM track: `ftyp`, then `moov` with its sample tables,
 then `mdat`. `inspect` walks nested boxes by their headers, decodes the sample tables (stts,
-stss, stsc, stsz, stco and co64) and gives codec, duration, samples and the byte ranges of
-keyframes; the payload itself is only sliced by these ranges, never decoded.
-
-Defined results: a null text is the empty one; a container that breaks off, or has no readable
-track, gives an error text and nulls instead of values; a null id is carried; repeated rows and
-equal texts get equal values; an empty table gives no rows; other columns are not read.
+stss, stsc, stsz, stz2, stco and co64) and the runs of fragments (trex, tfhd and trun), and gives
+codec, duration, samples and the byte ranges of keyframes of all tracks; the payload itself is only
+sliced by these ranges, never decoded. Counts are checked against the bytes there before tables
+are read, and boxes nest as deep as they like.
+
+Defined results: a null text is the empty one; a container that breaks off, whose tables disagree
+or that has no track gives an error text and nulls instead of values, and stops no other row; a null
+id is carried; repeated rows and equal texts get equal values; an empty table gives no rows; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from foliograph.llm.common import lean, table, with_small_batches
+from foliograph.llm.common import as_rows, lean, table, with_small_batches
 
 SAMPLE = 192
 CHUNK = 64
@@ -93,6 +97,19 @@ class Track:
     sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     durations: np.ndarray = field(default_factory=lambda: np.empty((0, 2), np.int64))
     keys: np.ndarray | None = None
+    fragment_duration: int = 0
+
+    def add_runs(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Append the samples of fragments; with them every keyframe has a number."""
+        keys = np.arange(1, self.n_samples + 1) if self.keys is None else self.keys
+        offsets, sizes, is_key = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        self.keys = np.r_[keys, np.flatnonzero(is_key) + self.n_samples + 1]
+        self.offsets, self.sizes = np.r_[self.offsets, offsets], np.r_[self.sizes, sizes]
+        self.n_samples += len(sizes)
+
+    def seconds(self) -> float | None:
+        """The track's own duration, or where it has none that of its fragments."""
+        return (self.duration or self.fragment_duration) / self.timescale if self.timescale else None
 
     def keyframes(self) -> list[tuple[int, int]]:
         """(offset, size) of each sample that starts decoding; all samples where there is no sync table."""
@@ -128,33 +145,59 @@ def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += size
 
 
-def _table(data: bytes, at: int, end: int, dtype: str, columns: int = 1) -> np.ndarray:
-    n = struct.unpack_from(">I", data, at + 4)[0]
-    got = np.frombuffer(data, dtype, count=n * columns, offset=at + 8).astype(np.int64)
-    if at + 8 + n * columns * np.dtype(dtype).itemsize > end:
+def _table(data: bytes, at: int, end: int, dtype: str, columns: int = 1, counted: int = 4, rows: int | None = None) -> np.ndarray:
+    """The rows of a table whose count stands `counted` bytes behind `at`; the count is checked before anything is read."""
+    n = struct.unpack_from(">I", data, at + counted)[0] if rows is None else rows
+    first = at + counted + 4
+    if first + n * columns * np.dtype(dtype).itemsize > end:
         raise ValueError("a table breaks off")
+    got = np.frombuffer(data, dtype, count=n * columns, offset=first).astype(np.int64)
     return got.reshape(n, columns) if columns > 1 else got
 
 
+def _sizes(data: bytes, kind: bytes, a: int, z: int) -> tuple[int, int | np.ndarray]:
+    """(samples, the size that all of them have, or their sizes) of `stsz` or `stz2`."""
+    same, n = struct.unpack_from(">II", data, a + 4)
+    if kind == b"stsz":
+        return n, same or _table(data, a, z, ">u4", counted=8, rows=n)
+    width = same & 0xFF
+    if width == 4:
+        pairs = _table(data, a, z, ">u1", counted=8, rows=(n + 1) // 2)
+        return n, np.column_stack([pairs >> 4, pairs & 15]).ravel()[:n]
+    if width in (8, 16):
+        return n, _table(data, a, z, f">u{width // 8}", counted=8, rows=n)
+    raise ValueError("sample sizes of an unknown width")
+
+
+def _fields(data: bytes, at: int, flags: int, known: tuple[int, ...]) -> tuple[dict[int, int], int]:
+    """The four-byte values that flags announce, by flag, and where they end."""
+    found = {}
+    for flag in known:
+        if flags & flag:
+            found[flag], at = struct.unpack_from(">I", data, at)[0], at + 4
+    return found, at
+
+
+#: Flags of `tfhd` and `trun`: which values follow, and the flag of a sample that is no keyframe.
+DESCRIPTION, DURATION, SIZE, FLAGS, MOOF_BASE = 0x02, 0x08, 0x10, 0x20, 0x020000
+DATA_OFFSET, FIRST_FLAGS, EACH = 0x01, 0x04, (0x100, 0x200, 0x400, 0x800)
+NO_KEYFRAME = 0x10000
+
+
 def inspect(data: bytes) -> list[Track]:
-    """The tracks of a container."""
+    """The tracks of a container in order, their samples from the sample tables and then from all fragments."""
     tracks: list[Track] = []
-    raw: dict = {}
-
-    def walk(at: int, end: int) -> None:
-        for kind, a, z in boxes(data, at, end):
-            if kind == b"trak":
-                tracks.append(Track())
-                raw.clear()
-                walk(a, z)
-                _lay_out(tracks[-1], raw)
-            elif kind in NESTED:
-                walk(a, z)
-            elif tracks:
-                _read(tracks[-1], raw, kind, a, z)
-
-    def _read(t: Track, raw: dict, kind: bytes, a: int, z: int) -> None:
-        if kind == b"mdhd":
+    by_id: dict[int, Track] = {}
+    extends: dict[int, tuple[int, int, int]] = {}  # track -> duration, size and flags that samples of fragments have by default
+    runs: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}  # track -> offsets, sizes, keyframes of each run
+    tables: dict = {}
+    fragment = {"base": 0, "track": 0, "next": 0, "defaults": (0, 0, 0)}
+
+    def read(kind: bytes, a: int, z: int) -> None:
+        t = tracks[-1] if tracks else Track()
+        if kind == b"tkhd":
+            by_id[struct.unpack_from(">I", data, a + (20 if data[a] else 12))[0]] = t
+        elif kind == b"mdhd":
             t.timescale, t.duration = struct.unpack_from(">IQ" if data[a] else ">II", data, a + (20 if data[a] else 12))
         elif kind == b"hdlr":
             t.handler = data[a + 8 : a + 12].decode("latin-1")
@@ -171,31 +214,96 @@ def inspect(data: bytes) -> list[Track]:
         elif kind == b"stss":
             t.keys = _table(data, a, z, ">u4")
         elif kind == b"stsc":
-            raw["stsc"] = _table(data, a, z, ">u4", 3)
-        elif kind == b"stsz":
-            same, n = struct.unpack_from(">II", data, a + 4)
-            t.sizes = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", count=n, offset=a + 12).astype(np.int64)
-            t.n_samples = n
+            tables["runs"] = _table(data, a, z, ">u4", 3)
+        elif kind in (b"stsz", b"stz2"):
+            tables["samples"], tables["sizes"] = _sizes(data, kind, a, z)
         elif kind in (b"stco", b"co64"):
-            raw["chunks"] = _table(data, a, z, ">u4" if kind == b"stco" else ">u8")
+            tables["chunks"] = _table(data, a, z, ">u4" if kind == b"stco" else ">u8")
+        elif kind == b"trex":
+            track, _, *defaults = struct.unpack_from(">IIIII", data, a + 4)
+            extends[track] = tuple(defaults)
+        elif kind == b"tfhd":
+            flags, track = struct.unpack_from(">II", data, a)
+            at, base = a + 8, None
+            if flags & 1:
+                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+            own, _ = _fields(data, at, flags, (DESCRIPTION, DURATION, SIZE, FLAGS))
+            known = extends.get(track, (0, 0, 0))
+            first = fragment["at"] if flags & MOOF_BASE or fragment["next"] == 0 else fragment["next"]
+            fragment.update(track=track, base=first if base is None else base, defaults=tuple(own.get(f, d) for f, d in zip((DURATION, SIZE, FLAGS), known, strict=True)))
+            fragment["next"] = fragment["base"]
+        elif kind == b"trun":
+            read_run(a, z)
+
+    def read_run(a: int, z: int) -> None:
+        flags, n = struct.unpack_from(">II", data, a)
+        at, offset = a + 8, fragment["next"]
+        if flags & DATA_OFFSET:
+            offset, at = fragment["base"] + struct.unpack_from(">i", data, at)[0], at + 4
+        head, at = _fields(data, at, flags, (FIRST_FLAGS,))
+        each = [f for f in EACH if flags & f]
+        if not each and n > len(data):
+            raise ValueError("more samples than bytes")
+        rows = _table(data, at - 8, z, ">u4", len(each), rows=n).reshape(n, len(each)) if each else np.empty((n, 0), np.int64)
+        duration, size, flag = (rows[:, each.index(f)] if f in each else np.full(n, d, np.int64) for f, d in zip(EACH[:3], fragment["defaults"], strict=True))
+        if FIRST_FLAGS in head and n:
+            flag = np.r_[head[FIRST_FLAGS], flag[1:]]
+        offsets = offset + np.cumsum(size) - size
+        fragment["next"] = int(offset + size.sum())
+        if n and (offsets.min() < 0 or fragment["next"] > len(data)):
+            raise ValueError("a sample lies outside")
+        runs.setdefault(fragment["track"], []).append((offsets, size, flag & NO_KEYFRAME == 0))
+        if fragment["track"] in by_id:
+            by_id[fragment["track"]].fragment_duration += int(duration.sum())
 
-    def _lay_out(t: Track, raw: dict) -> None:
-        if not t.n_samples:
+    def lay_out(t: Track) -> None:
+        n = tables.get("samples", 0)
+        if not n:
             return
-        chunks, runs = raw["chunks"], raw["stsc"]
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.r_[runs[:, 0], len(chunks) + 1]))
-        if per_chunk.sum() != t.n_samples:
+        chunks, stsc = tables["chunks"], tables["runs"]
+        if not len(stsc) or stsc[0, 0] != 1 or (np.diff(stsc[:, 0]) <= 0).any() or stsc[-1, 0] > len(chunks):
             raise ValueError("the sample tables disagree")
+        times = np.diff(np.r_[stsc[:, 0], len(chunks) + 1])
+        if sum(c * k for c, k in zip(stsc[:, 1].tolist(), times.tolist(), strict=True)) != n or (not isinstance(tables["sizes"], np.ndarray) and n * tables["sizes"] > len(data)):
+            raise ValueError("the sample tables disagree")
+        t.n_samples, sizes = n, tables["sizes"]
+        t.sizes = sizes if isinstance(sizes, np.ndarray) else np.full(n, sizes, np.int64)
+        per_chunk = np.repeat(stsc[:, 1], times)
+        chunks, per_chunk = chunks[per_chunk > 0], per_chunk[per_chunk > 0]
         before = np.cumsum(t.sizes) - t.sizes
         first = np.cumsum(per_chunk) - per_chunk
         t.offsets = np.repeat(chunks - before[first], per_chunk) + before
-        if (t.offsets + t.sizes).max() > len(data) or (t.keys is not None and len(t.keys) and not 1 <= t.keys.min() <= t.keys.max() <= t.n_samples):
+        if t.offsets.min() < 0 or (t.offsets + t.sizes).max() > len(data) or (t.keys is not None and len(t.keys) and not 1 <= t.keys.min() <= t.keys.max() <= n):
             raise ValueError("a sample lies outside")
 
+    def walk() -> None:
+        levels = [(b"", boxes(data, 0, len(data)))]  # a stack of its own: boxes may nest as deep as they like
+        while levels:
+            parent, inner = levels[-1]
+            found = next(inner, None)
+            if found is None:
+                levels.pop()
+                if parent == b"trak":
+                    lay_out(tracks[-1])
+                continue
+            kind, a, z = found
+            if kind == b"trak":
+                tracks.append(Track())
+                tables.clear()
+            elif kind == b"moof":
+                fragment.update(at=a - 8 if data[a - 4 : a] == kind else a - 16, next=0, track=0, base=0, defaults=(0, 0, 0))
+            if kind in NESTED:
+                levels.append((kind, boxes(data, a, z)))
+            else:
+                read(kind, a, z)
+
     try:
-        walk(0, len(data))
-    except (struct.error, KeyError, IndexError) as e:
-        raise ValueError(str(e)) from e
+        walk()
+        for track, parts in runs.items():
+            if track in by_id:
+                by_id[track].add_runs(parts)
+    except (struct.error, KeyError, IndexError, OverflowError, MemoryError) as e:
+        raise ValueError(f"unreadable: {e}") from e
     return tracks
 
 
@@ -203,35 +311,43 @@ def describe(t: Track) -> str:
     """codec;handler;duration in seconds;channels;bits;samples;keyframes;first and last keyframe's byte range."""
     keys = t.keyframes()
     span = lambda k: f"{k[0]}+{k[1]}"
-    seconds = t.duration / t.timescale if t.timescale else 0.0
+    seconds = t.seconds() or 0.0
     return f"codec={t.codec};handler={t.handler};seconds={seconds:.6f};channels={t.channels};bits={t.bits};samples={t.n_samples};keyframes={len(keys)}" + (f";first={span(keys[0])};last={span(keys[-1])}" if keys else "")
 
 
-_INFO = "error string, codec string, duration_s double, n_samples long, keyframes array<struct<offset: long, size: long>>"
+_TRACK = "codec: string, handler: string, duration_s: double, n_samples: bigint, keyframes: array<struct<offset: bigint, size: bigint>>"
 
 
 def containers(media: DataFrame, content_col: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: the columns of keep, and what the first track of the container in content_col has."""
-    columns = [F.col(c) for c in keep]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*columns).schema]) + ", " * bool(keep) + _INFO
-    key_type = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+    """Per row: the columns of keep, an error or null, and all tracks of the container in content_col; then the first track's codec, duration_s, n_samples and keyframes."""
+    kept = as_rows(media.select(*keep)).schema["row"].dataType if keep else None
+    out_schema = T.StructType([*([T.StructField("row", kept, False)] if keep else []), *T.StructType.fromDDL(f"error string, tracks array<struct<{_TRACK}>>")])
+    span = pa.struct([("offset", pa.int64()), ("size", pa.int64())])
+    track = pa.struct([("codec", pa.string()), ("handler", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(span))])
+
+    def told(t: Track) -> dict:
+        return {"codec": t.codec, "handler": t.handler, "duration_s": t.seconds(), "n_samples": t.n_samples, "keyframes": [{"offset": o, "size": s} for o, s in t.keyframes()]}
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            errors, tracks = [], []
             for content in b.column(b.num_columns - 1):
                 try:
-                    t = inspect(content.as_py() or b"")[0]
-                    rows.append((None, t.codec, t.duration / t.timescale if t.timescale else None, t.n_samples, [{"offset": o, "size": s} for o, s in t.keyframes()]))
-                except (ValueError, IndexError) as e:
-                    rows.append((str(e) or "no track", None, None, None, None))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            names = [*keep, "error", "codec", "duration_s", "n_samples", "keyframes"]
-            kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), key_type]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-
-    return with_small_batches(media).select(*columns, F.col(content_col).alias("__content")).mapInArrow(run, schema)
+                    found = [told(t) for t in inspect(content.as_py() or b"")]
+                    errors.append(None if found else "no track")
+                    tracks.append(found or None)
+                except ValueError as e:
+                    errors.append(str(e))
+                    tracks.append(None)
+            own = [b.column(0)] if keep else []
+            yield pa.RecordBatch.from_arrays([*own, pa.array(errors, pa.string()), pa.array(tracks, pa.list_(track))], [*["row"] * bool(keep), "error", "tracks"])
+
+    content = F.col(content_col).alias("content")
+    rows = media.select(F.struct(*keep).alias("row"), content) if keep else media.select(content)
+    found = with_small_batches(rows).mapInArrow(run, out_schema)
+    first = [F.get("tracks", F.lit(0)).getField(c).alias(c) for c in ("codec", "duration_s", "n_samples", "keyframes")]
+    return found.select(*(["row.*"] if keep else []), "error", "tracks", *first)
 
 
 _STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
