@@ -32,10 +32,12 @@ def local_session(app: str = "foliograph", cpus: int | str = "*") -> SparkSessio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="foliograph-")
