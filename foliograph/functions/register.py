@@ -11,17 +11,12 @@ from foliograph.functions import citations, sentences
 
 
 def register(spark: SparkSession) -> None:
-    """find_citations, split_sentences, decode_text and zip_entries; as table functions citations_of, sentences_of and bib_entries_of."""
+    """citation_shapes, split_sentences, decode_text and zip_entries; as table functions citations_of, sentences_of and bib_entries_of."""
     from foliograph.sources import bibtex, files
 
-    for name, f in (("find_citations", citations.find_citations), ("split_sentences", sentences.split_sentences), ("decode_text", files.decoded), ("zip_entries", files.zip_entries)):
+    for name, f in (("citation_shapes", citations.shape_spans), ("split_sentences", sentences.split_sentences), ("decode_text", files.decoded), ("zip_entries", files.zip_entries)):
         spark.udf.register(name, f)
 
-    class Citations:
-        def eval(self, text: str) -> Iterator[tuple]:
-            for h in citations.find(text or ""):
-                yield h["raw"], h["style"], h["keys"], h["start"], h["end"]
-
     class Sentences:
         def eval(self, text: str) -> Iterator[tuple]:
             for a, b in sentences.split(text or ""):
@@ -32,6 +27,6 @@ def register(spark: SparkSession) -> None:
             for e in bibtex.entries(text or ""):
                 yield e["key"], e["kind"], e["fields"]
 
-    spark.udtf.register("citations_of", udtf(Citations, returnType="raw string, style string, keys array<string>, start int, end int"))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION citations_of(text STRING) RETURNS TABLE(raw STRING, style STRING, keys ARRAY<STRING>, start INT, `end` INT) RETURN {citations.SQL_CITATIONS}")
     spark.udtf.register("sentences_of", udtf(Sentences, returnType="start int, end int, text string"))
     spark.udtf.register("bib_entries_of", udtf(Entries, returnType="key string, kind string, fields map<string,string>"))

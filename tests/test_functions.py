@@ -1,5 +1,5 @@
 import pytest
-from foliograph.functions import citations, language, lexicon, references, sentences
+from foliograph.functions import citations, language, lexicon, references, register, sentences
 from foliograph.functions import text as t
 from pyspark.sql import functions as F
 
@@ -66,18 +66,26 @@ CITED = [
 ]
 
 
-@pytest.mark.parametrize(("text", "want"), CITED)
-def test_citations(text, want):
-    hits = citations.find(text)
-    assert [h["raw"] for h in hits] == want
-    assert all(text[h["start"] : h["end"]] == h["raw"] for h in hits)
+def test_citations(spark):
+    register.register(spark)
+    more = ["Lis [0, 2] i [3-40], [7; 8–10] (Kowalski  i\nNowak, 2001a) Li (2000) Lis (2001), [Lis (2000), 2001]", "😀 [1]", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*(t for t, _ in CITED), *more])], "i int, x string")
+    got = {r.i: r.h for r in df.select("i", citations.find_citations("x").alias("h")).collect()}
+    for i, (text, want) in enumerate(CITED):
+        assert [h.raw for h in got[i]] == want
+        assert all(text[h.start : h.end] == h.raw for h in got[i])
+    n = len(CITED)
+    assert [(h.raw, h["keys"], h.authors) for h in got[n]] == [("[0, 2]", ["0", "2"], None), ("[7; 8–10]", ["7", "8", "9", "10"], None), ("(Kowalski  i\nNowak, 2001a)", ["Kowalski i Nowak, 2001a"], "Kowalski i Nowak"), ("Lis (2001)", ["Lis, 2001"], "Lis"), ("Lis (2000)", ["Lis, 2000"], "Lis")]
+    assert [(h.start, h.end) for h in got[n + 1]] == [(2, 5)] and got[n + 2] == []
+    df.createOrReplaceTempView("cited_texts")
+    by_sql = spark.sql("SELECT i, c.* FROM cited_texts, LATERAL citations_of(x) c").collect()
+    assert sorted((r.i, r.start, r.end, r.raw, r.style, r["keys"]) for r in by_sql) == sorted((i, h.start, h.end, h.raw, h["style"], h["keys"]) for i, hits in got.items() for h in hits)
 
 
 def test_numeric_keys(spark):
     inside = ["4-6", "1, 9", "3-40", "7;8-9"]
     want = [["4", "5", "6"], ["1", "9"], [], ["7", "8", "9"]]
     assert [v for v, in values(spark, inside, citations.numeric_keys(F.col("x")))] == want
-    assert [citations._keys(x) for x in inside] == want
 
 
 def test_references(spark):
