@@ -126,13 +126,13 @@ def sql_kinds(source: str, column: str) -> str:
     named_kinds AS (SELECT title, tried.kind AS kind FROM titles LEFT JOIN (SELECT * FROM tried WHERE pos = 1) tried USING (title))"""
 
 
-H1 = "heads AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)', 1) AS title FROM pages UNION ALL SELECT -i, v[i] FROM (SELECT {0} AS v), unnest(range(1, {1})) AS u(i))".format(sql_list(HEADINGS), len(HEADINGS) + 1)
+H1 = "heads AS (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)', 1)) AS title FROM pages UNION ALL SELECT -i, v[i] FROM (SELECT {0} AS v), unnest(range(1, {1})) AS u(i))".format(sql_list(HEADINGS), len(HEADINGS) + 1)
 
 
 @query(f"WITH {H1}, {sql_kinds('heads', 'title')} SELECT page_id, title, kind FROM heads LEFT JOIN named_kinds USING (title)")
 def heading_kinds(spark, sf_dir):
     own = spark.createDataFrame([(-i, h) for i, h in enumerate(HEADINGS, 1)], "page_id long, title string")
-    heads = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)", 1).alias("title")).unionByName(own)
+    heads = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<h1>([^<]*)"), F.lit(1))).alias("title")).unionByName(own)
     return heads.select("page_id", "title", lexicon.section_kind("title").alias("kind"))
 
 
@@ -144,7 +144,7 @@ def derived_blocks(docs: DataFrame) -> DataFrame:
     kind = lexicon.first_case([(step == 0, "heading"), (step == 4, "quote"), (step == 5, "code"), (step == 6, "caption"), (step == 7, "table")])
     title = F.element_at(F.array(*(F.lit(h) for h in HEADINGS)), ((doc * 7 + at) % len(HEADINGS) + 1).cast("int"))
     number = ((doc + at) % 4 + 1).cast("string")
-    text = F.when(step == 0, title).when(step == 6, F.concat(F.when(doc % 2 == 0, "Rys. ").otherwise("Table "), number, F.lit(" "), F.substring("text", 1, 30)))
+    text = F.when(step == 0, title).when(step == 6, F.concat(F.when(doc % 2 == 0, "Rys. ").otherwise("Table "), number, F.lit(" "), "text"))
     text = text.otherwise(F.concat("text", F.lit(" ["), ((doc + at) % 5 + 1).cast("string"), F.lit(", "), ((doc + at) % 3 + 6).cast("string"), F.lit("], rys. "), number))
     base = line.select("doc_id", "ordinal", F.coalesce(kind, F.lit("paragraph")).alias("type"), F.when(step == 0, (1 + (doc + at) % 2).cast("int")).alias("level"), text.alias("text"), F.floor(at / 10).cast("int").alias("p"))
     return blocks.with_offsets(base.select("*", (F.col("p") + 1).alias("page")).drop("p").withColumn("flags", F.array().cast("array<string>")))
@@ -154,7 +154,7 @@ THESIS = f"""{LINES}, derived AS (
   SELECT doc_id, ordinal, CASE ordinal % 9 WHEN 0 THEN 'heading' WHEN 4 THEN 'quote' WHEN 5 THEN 'code' WHEN 6 THEN 'caption' WHEN 7 THEN 'table' ELSE 'paragraph' END AS type,
     CASE WHEN ordinal % 9 = 0 THEN 1 + (doc_id + ordinal) % 2 END AS level, ordinal // 10 + 1 AS page,
     CASE ordinal % 9 WHEN 0 THEN {sql_list(HEADINGS)}[(doc_id * 7 + ordinal) % {len(HEADINGS)} + 1]
-      WHEN 6 THEN CASE WHEN doc_id % 2 = 0 THEN 'Rys. ' ELSE 'Table ' END || ((doc_id + ordinal) % 4 + 1) || ' ' || substr(text, 1, 30)
+      WHEN 6 THEN CASE WHEN doc_id % 2 = 0 THEN 'Rys. ' ELSE 'Table ' END || ((doc_id + ordinal) % 4 + 1) || ' ' || text
       ELSE text || ' [' || ((doc_id + ordinal) % 5 + 1) || ', ' || ((doc_id + ordinal) % 3 + 6) || '], rys. ' || ((doc_id + ordinal) % 4 + 1) END AS text
   FROM lines
 ), thesis AS (
@@ -260,12 +260,12 @@ def bibliography_harvest(spark, sf_dir):
 
 
 RESOLVED = f"""WITH {THESIS} {CITED}, refs AS (SELECT p_partkey % 50 AS doc_id, (row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey)) AS n, row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) % 2 AS odd FROM part),
-few AS (SELECT doc_id, n, 'r' || lpad(n::VARCHAR, 3, '0') AS ref_id FROM refs WHERE n <= 4),
-linked AS (SELECT c.doc_id, block_id, 'c' || lpad((row_number() OVER (PARTITION BY c.doc_id ORDER BY c.c_start))::VARCHAR, 4, '0') AS citation_id, ref_id FROM cited c LEFT JOIN few f ON f.doc_id = c.doc_id AND f.n = (c.doc_id + ordinal) % 5 + 1)"""
+listed AS (SELECT doc_id, n, 'r' || lpad(n::VARCHAR, 3, '0') AS ref_id FROM refs),
+linked AS (SELECT c.doc_id, block_id, 'c' || lpad((row_number() OVER (PARTITION BY c.doc_id ORDER BY c.c_start))::VARCHAR, 4, '0') AS citation_id, ref_id FROM cited c LEFT JOIN listed f ON f.doc_id = c.doc_id AND f.n = (c.doc_id + ordinal) % 5 + 1)"""
 
 
 def linked_citations(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    refs = stored(bibliography.harvest(derived_references(spark, sf_dir)).filter("ordinal <= 4"), "refs")
+    refs = stored(bibliography.harvest(derived_references(spark, sf_dir)), "refs")
     found = derived_blocks(table(spark, sf_dir, "documents"))
     none = found.limit(0).select("doc_id", "start", "end", F.lit("toc").alias("reason"))
     return citations.attach(found, refs, none), refs
@@ -281,7 +281,7 @@ def orphan_citations(spark, sf_dir):
     return citations.orphans(linked_citations(spark, sf_dir)[0]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("orphans"))
 
 
-@query(f"{RESOLVED} SELECT doc_id, ref_id FROM few f WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = f.doc_id AND l.ref_id = f.ref_id)")
+@query(f"{RESOLVED} SELECT doc_id, ref_id FROM listed f WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = f.doc_id AND l.ref_id = f.ref_id)")
 def uncited_references(spark, sf_dir):
     cites, refs = linked_citations(spark, sf_dir)
     return citations.uncited(refs, cites).select("doc_id", "ref_id")
