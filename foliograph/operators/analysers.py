@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from foliograph.functions.text import overlaps
 from foliograph.operators.blocks import in_document
+from foliograph.session import stored
 
 # Polish first-person endings of verbs that impersonal style avoids, and single-letter words that do not end a line.
 FIRST_PERSON = r"(?iU)\b\p{L}+(?:łem|łam|liśmy|łyśmy)\b"
@@ -106,21 +107,34 @@ def stylometry(texts: DataFrame, min_words: int = 150, function_words: tuple[str
     )
 
 
+def _by_score(scored: DataFrame) -> DataFrame:
+    """(score, p, n, below_p, below_n): labels of each score, and of all lower ones.
+
+    Ranges of scores are summed apart; only one row a range is ordered in one task.
+    """
+    by = scored.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
+    ranged = stored(by.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "score-ranges")
+    sums = ranged.groupBy("part").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    sums = sums.select("part", F.coalesce(F.sum("all_p").over(over), zero).alias("part_p"), F.coalesce(F.sum("all_n").over(over), zero).alias("part_n"))
+    inside = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c: F.col(f"part_{c}") + F.coalesce(F.sum(c).over(inside), zero)
+    return ranged.join(sums, "part").select("score", "p", "n", below("p").alias("below_p"), below("n").alias("below_n"))
+
+
 def auroc(scored: DataFrame) -> DataFrame:
     """(positives, negatives, auroc) of (score, label): from counts by score, so equal scores share their rank and no row is sorted twice."""
-    by = scored.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    wins = by.withColumn("below", below)
-    return wins.agg(F.sum("p").cast("long").alias("positives"), F.sum("n").cast("long").alias("negatives"), F.round(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n")), 6).alias("auroc"))
+    wins = _by_score(scored)
+    return wins.agg(F.sum("p").cast("long").alias("positives"), F.sum("n").cast("long").alias("negatives"), F.round(F.sum(F.col("p") * (F.col("below_n") + F.col("n") / 2)) / (F.sum("p") * F.sum("n")), 6).alias("auroc"))
 
 
 def tpr_at_fpr(scored: DataFrame, fpr: float = 0.01) -> DataFrame:
     """(threshold, tpr): the lowest threshold whose share of false positives is at most fpr."""
-    by = scored.groupBy("score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("n"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    curve = by.select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
-    total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    return curve.join(total).filter(F.col("fp") <= fpr * F.col("all_n")).agg(F.min("score").alias("threshold"), F.round(F.max(F.col("tp") / F.col("all_p")), 6).alias("tpr"))
+    curve = _by_score(scored)
+    total = scored.agg(F.sum("label").cast("double").alias("all_p"), F.sum(1 - F.col("label")).cast("double").alias("all_n"))  # one row
+    kept = curve.join(total).filter(F.col("all_n") - F.col("below_n") <= fpr * F.col("all_n"))
+    return kept.agg(F.min("score").alias("threshold"), F.round(F.max((F.col("all_p") - F.col("below_p")) / F.col("all_p")), 6).alias("tpr"))
 
 
 def calibration_error(scored: DataFrame, bins: int = 10) -> DataFrame:

@@ -72,6 +72,7 @@ def uncited(refs: DataFrame, citations: DataFrame) -> DataFrame:
 
 
 def duplicate_references(refs: DataFrame) -> DataFrame:
-    """(doc_id, key, ref_ids): references of one document that share a DOI, or else title and year."""
-    key = F.coalesce(F.lower("doi"), F.concat_ws("|", F.lower("title"), F.col("year").cast("string")))
-    return refs.withColumn("key", key).filter("key <> ''").groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("ref_id")).alias("ref_ids")).filter(F.size("ref_ids") > 1)
+    """(doc_id, key, ref_ids): references of one document that share a DOI, or else title and year (a null year is one too); without a DOI a title is needed."""
+    titled = F.when(F.trim("title") != "", F.concat_ws("|", F.lower(F.trim("title")), F.col("year").cast("string")))
+    key = F.coalesce(F.when(F.col("doi") != "", F.lower("doi")), titled)
+    return refs.withColumn("key", key).filter("key IS NOT NULL").groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("ref_id")).alias("ref_ids")).filter(F.size("ref_ids") > 1)

@@ -57,12 +57,11 @@ def mentions(blocks: DataFrame, floats: DataFrame, exclude_own_caption: bool = F
     Numbers are taken from the text once and joined, instead of trying each float's pattern on each block.
     """
     scanned = blocks.filter(F.col("type").isin(*FLOAT_SCAN_TYPES))
-    said = scanned.select("doc_id", "block_id", "text", "type", F.explode(F.regexp_extract_all("text", F.lit(MENTION), F.lit(1))).alias("said"))
-    said = said.select("doc_id", "block_id", "text", "type", F.explode(prefixes(F.col("said"))).alias("number")).distinct()
-    named = floats.filter("kind IN ('figure', 'table') AND number IS NOT NULL").select("doc_id", "kind", "float_id", "caption", F.lower("number").alias("number"))
-    found = named.join(said, ["doc_id", "number"])
-    if exclude_own_caption:
-        found = found.filter(~((F.col("type") == "caption") & F.col("caption").eqNullSafe(F.col("text"))))
+    own = F.when(F.col("type") == "caption", F.xxhash64("text")) if exclude_own_caption else F.lit(None).cast("long")
+    numbers = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(MENTION), F.lit(1)), prefixes)))
+    said = scanned.select("doc_id", "block_id", own.alias("own"), F.explode(numbers).alias("number"))  # hashes stand for texts, which stay behind
+    named = floats.filter("kind IN ('figure', 'table') AND number IS NOT NULL").select("doc_id", "kind", "float_id", F.xxhash64("caption").alias("caption"), F.lower("number").alias("number"))
+    found = named.join(said, ["doc_id", "number"]).filter(~F.col("own").eqNullSafe(F.col("caption")))
     return found.select("doc_id", "kind", "float_id", "block_id").distinct()
 
 
