@@ -6,10 +6,14 @@ captions and the like from ids and texts, by one rule in both engines.
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from foliograph.functions import citations as cite
 from foliograph.functions import language, lexicon, references
@@ -17,6 +21,7 @@ from foliograph.functions import text as t
 from foliograph.operators import analysers, bibliography, blocks, citations, enrich, exclusions, floats, languages, metrics, pdf, sections, segments
 from foliograph.plans import stages
 from foliograph.session import stored
+from foliograph.sources import docx, latex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -292,10 +297,135 @@ AUTHOR_REFS = "refs AS (SELECT c_nationkey AS doc_id, c_custkey AS ordinal, 'Jan
 
 @query(f"WITH {AUTHOR_REFS}, first AS (SELECT doc_id, lower(regexp_replace(split_part(author, ',', 1), '^Jan ', '')) AS surname, year AS ref_year, 'r' || min(ordinal) AS by_name FROM refs GROUP BY 1, 2, 3) SELECT * FROM first")
 def surname_year_index(spark, sf_dir):
+    return citations.surname_years(derived_author_refs(spark, sf_dir))
+
+
+AUTHOR_TEXT = "texts AS (SELECT c_nationkey AS doc_id, c_custkey AS ordinal, 'K' || chr((97 + (c_custkey * 7) % 26)::INT) || 'wal' AS name, (1978 + c_custkey % 15)::INT AS year, c_custkey % 4 AS shape FROM customer)"
+
+
+def derived_author_refs(spark, sf_dir) -> DataFrame:
+    """References of each nation's customers: one author and a year."""
     c = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("Jan K"), F.char((F.lit(97) + F.col("c_custkey") % 26)), F.lit("wal, X."))
-    refs = c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("ordinal"), F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("ref_id"), F.array(name).alias("authors"), (1980 + F.col("c_custkey") % 11).cast("int").alias("year"))
-    return citations.surname_years(refs)
+    return c.select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("ordinal"), F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("ref_id"), F.array(name).alias("authors"), (1980 + F.col("c_custkey") % 11).cast("int").alias("year"))
+
+
+@query(
+    f"""WITH {AUTHOR_REFS}, {AUTHOR_TEXT}, first AS (SELECT doc_id, lower(regexp_replace(split_part(author, ',', 1), '^Jan ', '')) AS surname, year, 'r' || min(ordinal) AS ref_id FROM refs GROUP BY 1, 2, 3),
+ said AS (SELECT *, CASE shape WHEN 0 THEN '(' || name || ', ' || year || ')' WHEN 1 THEN '[' || name || ' i Nowak, ' || year || ']' WHEN 2 THEN name || ' (' || year || ')' ELSE '(' || name || ' ' || year || ')' END AS raw,
+  row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM texts)
+ SELECT s.doc_id, 'c' || lpad(s.n::VARCHAR, 4, '0') AS citation_id, raw, 'author_year' AS style, name || CASE WHEN shape = 1 THEN ' i Nowak' ELSE '' END || ', ' || s.year AS "key", f.ref_id FROM said s LEFT JOIN first f ON f.doc_id = s.doc_id AND f.surname = lower(s.name) AND f.year = s.year"""
+)
+def author_year_links(spark, sf_dir):
+    k = F.col("c_custkey")
+    name, year = F.concat(F.lit("K"), F.char(F.lit(97) + k * 7 % 26), F.lit("wal")), (1978 + k % 15).cast("string")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    shape = F.when(k % 4 == 0, say("(", name, ", ", year, ")")).when(k % 4 == 1, say("[", name, " i Nowak, ", year, "]")).when(k % 4 == 2, say(name, " (", year, ")")).otherwise(say("(", name, " ", year, ")"))
+    lines = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), k.alias("ordinal"), F.concat(F.lit("Opisano to w pracy "), shape, F.lit(" 12 (a) szerzej.")).alias("text"), F.lit("paragraph").alias("type"))
+    found = blocks.with_offsets(lines)
+    none = found.limit(0).select("doc_id", "start", "end", F.lit("toc").alias("reason"))
+    linked = citations.attach(found, derived_author_refs(spark, sf_dir), none)
+    return linked.select("doc_id", "citation_id", "raw", "style", F.array_join("keys", ";").alias("key"), "ref_id")
+
+
+@query(
+    """WITH refs AS (SELECT o_custkey AS doc_id, o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE lower(o_orderpriority) END AS title, CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate)::INT END AS year, CASE WHEN o_orderkey % 11 = 0 THEN '10.1/' || o_orderpriority END AS doi FROM orders),
+ keyed AS (SELECT doc_id, 'r' || o_orderkey AS ref_id, coalesce(lower(doi), lower(title) || CASE WHEN year IS NULL THEN '' ELSE '|' || year END) AS key FROM refs)
+ SELECT doc_id, key, count(*) AS n, min(ref_id) AS first_ref FROM keyed WHERE key IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"""
+)
+def duplicate_references(spark, sf_dir):
+    k = F.col("o_orderkey")
+    title = F.when(k % 7 == 0, None).when(k % 3 == 0, F.col("o_orderstatus")).otherwise(F.initcap(F.lower("o_orderpriority")))
+    refs = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"), F.concat(F.lit("r"), k.cast("string")).alias("ref_id"), title.alias("title"), F.when(k % 5 != 0, F.year("o_orderdate")).alias("year"), F.when(k % 11 == 0, F.concat(F.lit("10.1/"), "o_orderpriority")).alias("doi")
+    )
+    found = citations.duplicate_references(refs)
+    return found.select("doc_id", "key", F.size("ref_ids").cast("long").alias("n"), F.array_min("ref_ids").alias("first_ref"))
+
+
+# Formats: files written from the tables, and the blocks that their readers find.
+
+
+def _docx_bytes(document: str) -> bytes:
+    """A DOCX container of a document.xml body, with the styles that the queries name."""
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+    style = lambda i, name, more="": f'<w:style w:type="paragraph" w:styleId="{i}"><w:name w:val="{name}"/><w:basedOn w:val="Normal"/>{more}</w:style>'
+    defaults = '<w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:ascii="Times New Roman"/><w:sz w:val="24"/></w:rPr></w:rPrDefault></w:docDefaults><w:style w:type="paragraph" w:styleId="Normal" w:default="1"><w:name w:val="Normal"/></w:style>'
+    styles = defaults + style("H1", "heading 1") + style("H2", "Nagłówek 2") + style("Q", "Quote") + style("C", "caption") + style("L", "List Paragraph") + style("T", "toc 1") + style("Big", "Big", '<w:rPr><w:b/><w:sz w:val="32"/></w:rPr>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", f"<w:document {space}><w:body>{document}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {space}>{styles}</w:styles>")
+    return out.getvalue()
+
+
+@F.pandas_udf(BinaryType())
+def docx_file(bodies: pd.Series) -> pd.Series:
+    return bodies.map(_docx_bytes)
+
+
+#: What each part of a supplier's file is, by part number: heading, second heading, quote, caption, list item, toc line, inferred heading, formula, table, code and text.
+DOCX_PARTS = ("H1", "H2", "Q", "C", "L", "T", "Big", "math", "table", "code", "", "")
+
+
+def _escaped(text) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+@query(
+    f"""WITH parts AS (SELECT p_brand AS doc_id, p_partkey, {sql_list(DOCX_PARTS)}[p_partkey % {len(DOCX_PARTS)} + 1] AS part, CASE WHEN p_partkey % {len(DOCX_PARTS)} = 3 THEN 'Rys. ' || p_size || ' ' ELSE '' END || p_name || CASE WHEN p_partkey % 24 = 10 THEN ' & < >' WHEN p_partkey % {len(DOCX_PARTS)} = 8 THEN chr(9) || p_type ELSE '' END AS text FROM part),
+ rows AS (SELECT doc_id, p_partkey, text, CASE part WHEN 'H1' THEN 'heading' WHEN 'H2' THEN 'heading' WHEN 'Q' THEN 'quote' WHEN 'C' THEN 'caption' WHEN 'L' THEN 'list_item' WHEN 'Big' THEN 'heading' WHEN 'math' THEN 'equation' WHEN 'table' THEN 'table' WHEN 'code' THEN 'code' ELSE 'paragraph' END AS type,
+  CASE part WHEN 'H1' THEN 1 WHEN 'H2' THEN 2 WHEN 'Big' THEN 1 END AS level, CASE part WHEN 'T' THEN 'toc' WHEN 'Big' THEN 'heading_inferred' ELSE '' END AS flags,
+  row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM (SELECT *, doc_id AS p_brand FROM parts))
+ SELECT doc_id, 'b' || lpad(n::VARCHAR, 4, '0') AS block_id, type, level::INT AS level, text, flags, start, (start + length(text))::INT AS "end" FROM rows"""
+)
+def docx_blocks(spark, sf_dir):
+    k, part = F.col("p_partkey"), F.element_at(F.array(*(F.lit(p) for p in DOCX_PARTS)), (F.col("p_partkey") % len(DOCX_PARTS) + 1).cast("int"))
+    run = lambda text, props="": F.concat(F.lit(f"<w:r><w:rPr>{props}</w:rPr><w:t>"), text, F.lit("</w:t></w:r>"))
+    name = F.concat(F.when(part == "C", F.concat(F.lit("Rys. "), F.col("p_size").cast("string"), F.lit(" "))).otherwise(""), _escaped(F.col("p_name")), F.when(k % 24 == 10, " &amp; &lt; &gt;").otherwise(""))
+    cells = F.concat(*(F.concat(F.lit("<w:tc><w:p>"), run(_escaped(F.col(c))), F.lit("</w:p></w:tc>")) for c in ("p_name", "p_type")))
+    body = (
+        F.when(part == "table", F.concat(F.lit("<w:tbl><w:tr>"), cells, F.lit("</w:tr></w:tbl>")))
+        .when(part == "math", F.concat(F.lit("<w:p><m:oMath><m:r><m:t>"), name, F.lit("</m:t></m:r></m:oMath></w:p>")))
+        .when(part == "code", F.concat(F.lit("<w:p>"), run(name, '<w:rFonts w:ascii="Consolas"/>'), F.lit("</w:p>")))
+        .otherwise(F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="'), F.when(part == "", "Normal").otherwise(part), F.lit('"/></w:pPr>'), run(name), F.lit("</w:p>")))
+    )
+    made = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), k.alias("k"), body.alias("body")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "body"))).alias("parts"))
+    found = docx.classified(docx.raw_rows(made.select("doc_id", docx_file(F.array_join(F.transform("parts", lambda p: p.body), "")).alias("content"))))
+    return found.select("doc_id", "block_id", "type", "level", "text", F.array_join("flags", ";").alias("flags"), "start", "end")
+
+
+#: What each part of a project's main file is, by part number.
+TEX_PARTS = ("chapter", "section", "subsection", "text", "quote", "item", "caption", "equation", "code", "cite", "footnote", "text")
+
+
+@query(
+    f"""WITH parts AS (SELECT p_brand AS doc_id, p_partkey, {sql_list(TEX_PARTS)}[p_partkey % {len(TEX_PARTS)} + 1] AS part, replace(replace(p_name, '#', ' '), ':', ' ') AS name FROM part),
+ rows AS (SELECT doc_id, p_partkey, 0 AS sub, CASE part WHEN 'chapter' THEN 'heading' WHEN 'section' THEN 'heading' WHEN 'subsection' THEN 'heading' WHEN 'quote' THEN 'quote' WHEN 'item' THEN 'list_item' WHEN 'caption' THEN 'caption' WHEN 'equation' THEN 'equation' WHEN 'code' THEN 'code' ELSE 'paragraph' END AS type,
+   CASE part WHEN 'chapter' THEN 1 WHEN 'section' THEN 2 WHEN 'subsection' THEN 3 END AS level, CASE WHEN part = 'cite' THEN 'Zob. [k' || p_partkey || '] ' || name WHEN part = 'text' THEN name || ' plain' ELSE name END AS text FROM parts
+  UNION ALL SELECT doc_id, p_partkey, 1, 'footnote', NULL, 'Note ' || p_partkey || '.' FROM parts WHERE part = 'footnote')
+ SELECT doc_id, type, level::INT AS level, text, count(*) AS n FROM rows GROUP BY ALL"""
+)
+def latex_blocks(spark, sf_dir):
+    k, name = F.col("p_partkey"), F.replace(F.replace("p_name", F.lit("#"), F.lit(" ")), F.lit(":"), F.lit(" "))
+    part, key = F.element_at(F.array(*(F.lit(p) for p in TEX_PARTS)), (k % len(TEX_PARTS) + 1).cast("int")), k.cast("string")
+    inside = lambda before, after, text=name: F.concat(F.lit(before), text, F.lit(after))
+    tex = (
+        F.when(part.isin("chapter", "section", "subsection"), F.concat(F.lit("\\"), part, inside("{", "}")))
+        .when(part == "quote", inside("\\begin{quote}\n", "\n\\end{quote}"))
+        .when(part == "item", inside("\\begin{itemize}\\item ", "\\end{itemize}"))
+        .when(part == "caption", inside("\\begin{figure}\\includegraphics{a.png}\\caption{", "}\\end{figure}"))
+        .when(part == "equation", inside("\\begin{equation}", "\\end{equation}"))
+        .when(part == "code", inside("\\begin{verbatim}\n", "\n\\end{verbatim}"))
+        .when(part == "cite", F.concat(F.lit("Zob.~\\cite{k"), key, F.lit("} % a comment\n"), name))
+        .when(part == "footnote", F.concat(name, F.lit("\\footnote{Note "), key, F.lit(".}")))
+        .otherwise(inside("", " \\emph{plain}"))
+    )
+    made = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), k.alias("k"), tex.alias("tex")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "tex"))).alias("parts"))
+    main = F.concat(F.lit("\\documentclass{report}\n\\begin{document}\n"), F.array_join(F.transform("parts", lambda p: p.tex), "\n\n"), F.lit("\n\\end{document}\n"))
+    found = latex.blocks(latex.raw_rows(made.select("doc_id", F.lit("main.tex").alias("path"), main.alias("content"))))
+    return found.groupBy("doc_id", "type", "level", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Floats.
