@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op4_chat": chat.ORACLE,
+    "op9_suffixes": suffixes.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
 }

@@ -476,6 +476,22 @@ def op9_suffixes(spark, sf_dir: str) -> DataFrame:
     return removal_digest(table(spark, sf_dir, "documents"))
 
 
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS MATERIALIZED (SELECT rid, unnest(range(1, octet_length(b) - 398)) AS i, unnest(list_transform(range(1, octet_length(b) - 398), lambda i: md5_number(array_slice(b, i, i + 399)))) AS h FROM d WHERE octet_length(b) >= 400
+), r AS MATERIALIZED (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS last FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), runs AS (SELECT rid, i, sum((last IS NULL OR i > last + 400)::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM r
+), cut AS (SELECT rid, run, min(i) AS s, max(i) + 400 AS e FROM runs GROUP BY 1, 2
+), piece AS (
+  SELECT rid, coalesce(lag(e) OVER (PARTITION BY rid ORDER BY s), 1) AS from_byte, s AS to_byte FROM cut UNION ALL SELECT rid, max(e), NULL FROM cut GROUP BY 1
+), kept AS (SELECT rid, string_agg(hex(array_slice(b, from_byte, coalesce(to_byte, octet_length(b) + 1) - 1)), '' ORDER BY from_byte) AS bytes FROM piece JOIN d USING (rid) WHERE from_byte < coalesce(to_byte, octet_length(b) + 1) GROUP BY 1
+), sums AS (SELECT rid, sum(e - s) AS n_removed, count(*) AS n_spans FROM cut GROUP BY 1
+)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(coalesce(bytes, '')) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
 def passage_spans(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
     """Of spans, drawn in to whole characters, those that hold at least `words` words."""
     return [(s, e) for s, e in whole_characters(raw, spans) if len(raw[s:e].split()) >= words]
