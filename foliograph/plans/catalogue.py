@@ -403,7 +403,7 @@ TEX_PARTS = ("chapter", "section", "subsection", "text", "quote", "item", "capti
 @query(
     f"""WITH parts AS (SELECT p_brand AS doc_id, p_partkey, {sql_list(TEX_PARTS)}[p_partkey % {len(TEX_PARTS)} + 1] AS part, replace(replace(p_name, '#', ' '), ':', ' ') AS name FROM part),
  rows AS (SELECT doc_id, p_partkey, 0 AS sub, CASE part WHEN 'chapter' THEN 'heading' WHEN 'section' THEN 'heading' WHEN 'subsection' THEN 'heading' WHEN 'quote' THEN 'quote' WHEN 'item' THEN 'list_item' WHEN 'caption' THEN 'caption' WHEN 'equation' THEN 'equation' WHEN 'code' THEN 'code' ELSE 'paragraph' END AS type,
-   CASE part WHEN 'chapter' THEN 1 WHEN 'section' THEN 2 WHEN 'subsection' THEN 3 END AS level, CASE WHEN part = 'cite' THEN 'Zob. [k' || p_partkey || '] ' || name WHEN part = 'text' THEN name || ' plain' ELSE name END AS text FROM parts
+   CASE part WHEN 'chapter' THEN 1 WHEN 'section' THEN 2 WHEN 'subsection' THEN 3 END - CASE WHEN bool_or(part = 'chapter') OVER (PARTITION BY doc_id) THEN 0 ELSE 1 END AS level, CASE WHEN part = 'cite' THEN 'Zob. [k' || p_partkey || '] ' || name WHEN part = 'text' THEN name || ' plain' ELSE name END AS text FROM parts
   UNION ALL SELECT doc_id, p_partkey, 1, 'footnote', NULL, 'Note ' || p_partkey || '.' FROM parts WHERE part = 'footnote')
  SELECT doc_id, type, level::INT AS level, text, count(*) AS n FROM rows GROUP BY ALL"""
 )
