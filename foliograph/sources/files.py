@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from foliograph.config import Settings
 from foliograph.functions.lexicon import first_case
+from foliograph.sources.pdf import pdf_facts
 
 # Kinds of errors with what users read about them.
 ERRORS = {
@@ -105,13 +106,16 @@ def container_error(entries: Column, s: Settings) -> Column:
 
 
 def guarded(files: DataFrame, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted files, quarantine): size first, then format, then the archive's members."""
+    """(accepted files, quarantine): size first, then format, then the archive's members or the PDF's pages and encryption (a PDF that shows no page count passes)."""
     s = settings or Settings()
     small = F.col("length") <= s.max_upload_mb * 1024 * 1024
     known = detect(files.filter(small))
     listed = known.withColumn("entries", F.when(F.col("source_format") == "docx", zip_entries("content")))
-    error = F.when(F.col("source_format").isNull(), "unsupported_format").when(F.col("source_format") == "docx", container_error(F.col("entries"), s))
-    checked = listed.withColumn("error_kind", error)
+    listed = listed.withColumn("facts", F.when(F.col("source_format") == "pdf", pdf_facts("content")))
+    pages = F.col("facts.pages")
+    pdf_error = first_case([(F.col("facts.encrypted"), "encrypted"), (pages > s.max_pages, "resource_limit"), (pages == 0, "parse_error")])
+    error = F.when(F.col("source_format").isNull(), "unsupported_format").when(F.col("source_format") == "docx", container_error(F.col("entries"), s)).when(F.col("source_format") == "pdf", pdf_error)
+    checked = listed.withColumn("error_kind", error).drop("facts")
     refused = checked.filter("error_kind IS NOT NULL").select("doc_id", "path", "filename", "length", "error_kind")
     refused = refused.unionByName(files.filter(~small).select("doc_id", "path", "filename", "length", F.lit("resource_limit").alias("error_kind")))
     says = lambda i: first_case([(F.col("error_kind") == k, v[i]) for k, v in ERRORS.items()])

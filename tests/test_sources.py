@@ -1,6 +1,7 @@
 import io
 import json
 import zipfile
+import zlib
 
 import pytest
 from foliograph import cli, schema
@@ -185,3 +186,14 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT size(split_sentences('Raz. Dwa.')) AS n").first().n == 2
     assert spark.sql("SELECT s.text FROM LATERAL sentences_of('Raz. Dwa.') s").count() == 2
     assert spark.sql("SELECT fields['title'] AS t FROM bib_entries_of('@misc{k, title={T}}')").first().t == "T"
+
+
+def test_pdf_guards(spark):
+    tree = lambda n: b"%%PDF-1.7\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count %d >>\nendobj\n" % n
+    packed = b"%PDF-1.7\n5 0 obj\n<< /Type /ObjStm /N 1 /First 4 /Filter /FlateDecode >>\nstream\n" + zlib.compress(b"2 0 << /Count 7 /Kids [3 0 R] /Type /Pages >>") + b"\nendstream\n"
+    made = {"few": tree(2), "many": tree(4), "none": tree(0), "locked": tree(1) + b"trailer << /Root 1 0 R /Encrypt 9 0 R >>", "packed": packed, "bare": b"%PDF-1.7"}
+    assert [pdf_source.facts(made[k])["pages"] for k in ("few", "many", "none", "packed", "bare")] == [2, 4, 0, 7, None]
+    df = spark.createDataFrame([(k, f"/{k}.pdf", f"{k}.pdf", len(v), bytearray(v)) for k, v in made.items()], "doc_id string, path string, filename string, length long, content binary")
+    good, bad = files.guarded(df, Settings(max_pages=3))
+    assert {r.doc_id for r in good.collect()} == {"few", "bare"}
+    assert {(r.doc_id, r.error_kind) for r in bad.collect()} == {("many", "resource_limit"), ("packed", "resource_limit"), ("none", "parse_error"), ("locked", "encrypted")}
