@@ -72,14 +72,20 @@ def size_hierarchy(blocks: DataFrame) -> DataFrame:
 
 
 def match_toc(blocks: DataFrame, toc: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, toc_level): each entry's best block on its page or the next; of entries for one block, the last."""
+    """(doc_id, ordinal, toc_level): each entry's best block on its page or the next; of entries for one block, the last.
+
+    A score depends on texts only, so each pair of different texts of a page is compared once: of
+    equal blocks the first stands for all, of equal entries the last.
+    """
     needle = t.normalise_ws(F.lower("title"))
-    e = toc.select("doc_id", F.col("ordinal").alias("entry"), "level", needle.alias("needle"), F.explode(F.array(F.col("page"), F.col("page") + 1)).alias("page")).filter("needle <> ''")
-    hay = F.lower("text")
-    prefix = t.prefix_score(F.col("needle"), t.normalise_ws(hay))
+    entries = toc.select("doc_id", "page", F.col("ordinal").alias("entry"), "level", needle.alias("needle")).filter("needle <> ''")
+    entries = entries.groupBy("doc_id", F.col("page").alias("toc_page"), "needle").agg(F.max_by("level", "entry").alias("level"), F.max("entry").alias("entry"))
+    hays = blocks.groupBy("doc_id", "page", F.lower("text").alias("hay")).agg(F.min("ordinal").alias("ordinal"))
+    hay, prefix = F.col("hay"), t.prefix_score(F.col("needle"), t.normalise_ws(F.col("hay")))
     score = F.when(F.contains(hay, F.col("needle")), F.length("needle") / F.greatest(F.length(hay), F.lit(1))).when(prefix > 0.8, prefix * 0.9)
-    found = e.join(blocks.select("doc_id", "page", "ordinal", "text"), ["doc_id", "page"]).withColumn("score", score).filter("score > 0")
-    best = F.row_number().over(Window.partitionBy("doc_id", "entry").orderBy(F.col("score").desc(), "page", "ordinal"))
+    e = entries.select("*", F.explode(F.array(F.col("toc_page"), F.col("toc_page") + 1)).alias("page"))
+    found = e.join(hays, ["doc_id", "page"]).withColumn("score", score).filter("score > 0")
+    best = F.row_number().over(Window.partitionBy("doc_id", "toc_page", "needle").orderBy(F.col("score").desc(), "page", "ordinal"))
     return found.withColumn("at", best).filter("at = 1").groupBy("doc_id", "ordinal").agg(F.greatest(F.lit(1), F.least(F.lit(6), F.max_by("level", "entry"))).alias("toc_level"))
 
 
