@@ -194,7 +194,8 @@ def read(content: bytes) -> list[dict]:
     for note in notes.findall(W + "footnote") if notes is not None else ():
         if (_number(note.get(W + "id")) or 0) > 0 and (text := " ".join(filter(None, (_text(p) for p in note.iter(W + "p"))))):
             rows.append({"kind": "footnote", "text": text})
-    return [r | {"pages": pages} | _layout(body) | {"ordinal": i} for i, r in enumerate(rows)]
+    whole = {"pages": pages} | _layout(body)  # once: it looks through all of the body
+    return [r | whole | {"ordinal": i} for i, r in enumerate(rows)]
 
 
 def raw_rows(files: DataFrame) -> DataFrame:

@@ -37,3 +37,19 @@ def test_toc_match_is_linear_in_equal_texts(spark):
     began = time.time()
     assert pdf.match_toc(found, toc).count() > 3
     assert time.time() - began < 30
+
+
+def test_level_votes_of_equal_texts(spark):
+    """The level that most matched blocks of a size have; at this size no pair of equal texts may be built."""
+    small, toc = pages(spark, 90)
+    levels, sizes, body = plain_matches(small, toc), {r.ordinal: r["size"] for r in small.collect()}, pdf.size_hierarchy(small)
+    votes = {}
+    for o, level in sorted(levels.items()):
+        votes.setdefault(sizes[o], []).append(level)
+    own = {r["size"]: r.size_level for r in body.collect()}
+    wanted = {s: max(votes[s], key=lambda v: (votes[s].count(v), -votes[s].index(v))) if s in votes else own[s] for s in own}
+    assert {r["size"]: r.size_level for r in pdf.calibrate(body, small, pdf.match_toc(small, toc)).collect()} == wanted
+    found, toc = pages(spark, 120_000)
+    began = time.time()
+    assert pdf.calibrate(pdf.size_hierarchy(found), found, pdf.match_toc(found, toc)).count() == 4
+    assert time.time() - began < 30
