@@ -391,7 +391,9 @@ def docx_blocks(spark, sf_dir):
         .when(part == "code", F.concat(F.lit("<w:p>"), run(name, '<w:rFonts w:ascii="Consolas"/>'), F.lit("</w:p>")))
         .otherwise(F.concat(F.lit('<w:p><w:pPr><w:pStyle w:val="'), F.when(part == "", "Normal").otherwise(part), F.lit('"/></w:pPr>'), run(name), F.lit("</w:p>")))
     )
-    made = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), k.alias("k"), body.alias("body")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "body"))).alias("parts"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), k.alias("k"), body.alias("body"))
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")  # by count, as reading costs more than the bytes suggest
+    made = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "body"))).alias("parts"))
     found = docx.classified(docx.raw_rows(made.select("doc_id", docx_file(F.array_join(F.transform("parts", lambda p: p.body), "")).alias("content"))))
     return found.select("doc_id", "block_id", "type", "level", "text", F.array_join("flags", ";").alias("flags"), "start", "end")
 

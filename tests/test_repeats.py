@@ -3,6 +3,8 @@
 import time
 
 from foliograph.operators import pdf
+from foliograph.plans.catalogue import _docx_bytes
+from foliograph.sources import docx
 from pyspark.sql import functions as F
 
 NAMES = ["large ring", "ring", "hot bolt", "Hot  bolt", "blue ring"]
@@ -53,3 +55,13 @@ def test_level_votes_of_equal_texts(spark):
     began = time.time()
     assert pdf.calibrate(pdf.size_hierarchy(found), found, pdf.match_toc(found, toc)).count() == 4
     assert time.time() - began < 30
+
+
+def test_docx_is_read_in_linear_time():
+    """The last section's layout stands in every row, and is looked for once."""
+    body = "<w:p><w:r><w:t>large ring</w:t></w:r></w:p>" * 6000 + '<w:sectPr><w:pgMar w:top="567"/></w:sectPr>'
+    content = _docx_bytes(body)
+    began = time.time()
+    rows = docx.read(content)
+    assert time.time() - began < 10
+    assert len(rows) == 6000 and [r["ordinal"] for r in rows] == list(range(6000)) and all(r["margins_cm"] == [("top", 1.0)] for r in rows)
