@@ -5,16 +5,19 @@ of the table rows that its whole and its first 4, 5 and 6 bytes hash to, so infl
 rows. Filters of WIDTHS words slide over a whole text, and the maximum of each over the text
 feeds a logistic layer. Words are cut and hashed by prefix sums over the bytes of many texts at
 once; texts over PIECE bytes are read in pieces that overlap by two words, so that the maximum is
-that of the whole text. Training is numpy on the driver over at most SAMPLE labelled rows of each class, those of
-the smallest hash of their ids, leaving out texts over SAMPLE_BYTES; the intercept is then moved
-to the classes' shares among all labelled rows. On a fifth of that sample kept from training, a
-threshold for each language is calibrated: of those with the fewest weighted errors, the one
-nearest to 0.5. Languages select thresholds only; they are no input of a score.
+that of the whole text. Training takes every labelled row that is not held out, whatever its length
+or number: those whose id's hash is 4 modulo 5 calibrate, all others train. Up to SHARD rows of
+LOCAL_BYTES are trained on the driver; more are dealt by the id's hash into shards of about SHARD rows (SHARDS
+of them at most, which then grow), each of which makes an epoch of its own from the common state, and after each epoch the
+states are averaged by their rows. The first log odds are counted over all training rows. The intercept
+is moved to the classes' shares among all labelled rows. A threshold for each language is calibrated on all
+calibration rows: of those with the fewest weighted errors, the one nearest to 0.5 (beyond one
+shard, of the thousandths from 0.05 to 0.95). Languages select thresholds only; they are no input of a score.
 
 Defined results: null and empty texts are scored as a text without words; a null id is held out
 of training; labels that are null, or without both classes, train nothing and all scores are the
-share of label 1 among the labels (0 without labels); a repeated id uses each of its rows, up to four times the sample in all
-(in the order of hash, id and text key); a language without calibration rows, or a null one, has the threshold 0.5; an empty table gives
+share of label 1 among the labels (0 without labels); a repeated id uses each of its rows, with each
+of its labels; a language without calibration rows, or a null one, has the threshold 0.5; an empty table gives
 no rows; other columns, whatever their names, are not read.
 """
 
@@ -29,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.common import as_rows, lean, table, text_key, text_of, with_small_batches
+from foliograph.session import discard, stored
 
-SAMPLE, SAMPLE_BYTES = 1500, 65_536
+SHARD, SHARDS, LOCAL_BYTES = 4000, 256, 1 << 24
 PIECE, BATCH_BYTES = 1 << 18, 1 << 18
+PIECE_WORDS = 1 << 15
 ROW_BITS, DIMS, FILTERS, WIDTHS = 16, 8, 8, (1, 2, 3)
 PREFIXES = (4, 5, 6)
 EPOCHS, DOCS_A_STEP, RATE = 12, 32, 0.08
@@ -172,79 +177,149 @@ def _untrained(prior: float) -> Model:
     return Model(empty, {}, empty, empty, 0.0, prior, False)
 
 
+def _seen(each: Iterator[tuple[np.ndarray, float]]) -> np.ndarray:
+    """For each label, the number of texts that have each row."""
+    seen = np.zeros((2, 1 << ROW_BITS))
+    for rows, y in each:
+        seen[int(y), np.unique(rows)] += 1
+    return seen
+
+
+def _in_pieces(each: list[np.ndarray], limit: int) -> Iterator[list[tuple[int, int, np.ndarray, bool]]]:
+    """Batches of (text, first word, rows, whether the text goes on): texts of over `limit` words in pieces that repeat two words."""
+    batch: list[tuple[int, int, np.ndarray, bool]] = []
+    size = 0
+    for i, rows in enumerate(each):
+        at = 0
+        while True:
+            part = rows[at : at + limit]
+            more = at + limit < len(rows)
+            if batch and size + len(part) > limit:
+                yield batch
+                batch, size = [], 0
+            batch.append((i, at, part, more))
+            size += len(part)
+            if not more:
+                break
+            at += limit - 2
+    if batch:
+        yield batch
+
+
+class Trainer:
+    """A model with its AdaGrad state."""
+
+    def __init__(self, seen: np.ndarray, n: np.ndarray, seed: int = 0):
+        """seen: for each label, texts that have each row; n: texts of each label. The first dimension starts at the smoothed log odds."""
+        rng = np.random.default_rng(seed)
+        m = Model(
+            rng.normal(0, 0.05, (1 << ROW_BITS, DIMS)).astype(np.float32), {w: rng.normal(0, 0.3, (w * DIMS, FILTERS)).astype(np.float32) for w in WIDTHS},
+            np.zeros(FILTERS * len(WIDTHS), np.float32), np.full(FILTERS * len(WIDTHS), 0.2), 0.0,
+        )
+        odds = np.log((seen[1] / max(n[1], 1) + 2e-3) / (seen[0] / max(n[0], 1) + 2e-3))
+        m.rows[:, 0] = np.clip(odds, -2, 2) / 2
+        for w in WIDTHS:
+            m.filters[w][:DIMS] = np.abs(m.filters[w][:DIMS]) * (np.arange(DIMS) == 0)[:, None] + m.filters[w][:DIMS] * (np.arange(DIMS) > 0)[:, None]
+        self.model, self.square0 = m, 1e-6
+        self.squares = [np.full(p.shape, 1e-6, dtype=np.float32) for p in self.params()]
+
+    def params(self) -> list[np.ndarray]:
+        m = self.model
+        return [m.rows, *m.filters.values(), m.bias, m.weight]
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([*(p.ravel().astype(np.float64) for p in (*self.params(), *self.squares)), [self.model.intercept, self.square0]])
+
+    def load(self, state: np.ndarray) -> Trainer:
+        at = 0
+        for p in (*self.params(), *self.squares):
+            p[...] = state[at : at + p.size].reshape(p.shape)
+            at += p.size
+        self.model.intercept, self.square0 = float(state[at]), float(state[at + 1])
+        return self
+
+    def tops(self, each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(the highest output of each filter over each text, the word where it stands)."""
+        n = FILTERS * len(WIDTHS)
+        best, word = np.full((len(each), n), -np.inf, dtype=np.float32), np.zeros((len(each), n), dtype=np.int64)
+        for batch in _in_pieces(each, PIECE_WORDS):
+            sizes = np.array([len(rows) for _, _, rows, _ in batch])
+            starts = np.cumsum(sizes) - sizes
+            _, out = self.model.maps(np.concatenate([rows for _, _, rows, _ in batch]), starts)
+            first = starts + 2 * np.arange(len(batch))
+            for (i, at, _, more), a, b in zip(batch, first, np.r_[first[1:], len(out)], strict=True):
+                part = out[a : b - 4 if more else b]  # the last two words and the blanks of a piece that goes on are the next one's
+                top = part.argmax(axis=0)
+                value = part[top, np.arange(n)]
+                higher = value > best[i]
+                best[i, higher], word[i, higher] = value[higher], at + top[higher]
+        return best, word
+
+    def step(self, each: list[np.ndarray], labels: np.ndarray, rate: float) -> None:
+        m = self.model
+        best, word = self.tops(each)
+        places = word[:, :, None] + np.arange(max(WIDTHS))
+        inside = places < np.array([len(r) for r in each])[:, None, None]
+        rows = np.zeros((*places.shape, 1 + len(PREFIXES)), dtype=np.int32)
+        for i, r in enumerate(each):
+            rows[i][inside[i]] = r[places[i][inside[i]]]
+        x = m.rows[rows].sum(axis=3) * inside[..., None]
+        h = best + m.bias
+        live = h > 0
+        act = np.where(live, h, 0).astype(np.float64)
+        p = 1 / (1 + np.exp(-np.clip(act @ m.weight + m.intercept, -40, 40)))
+        err = (p - labels) / len(each)
+        params = self.params()
+        grads = [None] * len(params)
+        grads[-1] = act.T @ err + 1e-4 * m.weight
+        gh = np.where(live, err[:, None] * m.weight[None, :], 0).astype(np.float32)
+        grads[-2] = gh.sum(axis=0)
+        back = np.zeros(x.shape, dtype=np.float32)
+        for k, w in enumerate(WIDTHS):
+            own = slice(k * FILTERS, (k + 1) * FILTERS)
+            g = np.zeros_like(m.filters[w])
+            for j in range(w):
+                g[j * DIMS : (j + 1) * DIMS] = np.einsum("dfe,df->ef", x[:, own, j], gh[:, own])
+                back[:, own, j] = gh[:, own, None] * m.filters[w][j * DIMS : (j + 1) * DIMS].T[None]
+            grads[1 + k] = g + 1e-5 * m.filters[w]
+        keep = inside & (np.abs(back).sum(axis=3) > 0)
+        touched, inverse = np.unique(rows[keep].ravel(), return_inverse=True)
+        g_rows = np.zeros((len(touched), DIMS), dtype=np.float32)
+        np.add.at(g_rows, inverse.ravel(), np.repeat(back[keep], rows.shape[-1], axis=0))
+        self.squares[0][touched] += g_rows**2
+        m.rows[touched] -= 0.3 * rate * g_rows / np.sqrt(self.squares[0][touched] + 1e-4)
+        for q, (param, g) in enumerate(zip(params[1:], grads[1:], strict=True), 1):
+            self.squares[q] += g**2
+            param -= (rate * g / np.sqrt(self.squares[q] + 1e-6)).astype(param.dtype)
+        g0 = err.sum()
+        self.square0 += g0 * g0
+        m.intercept -= rate * g0 / np.sqrt(self.square0 + 1e-6)
+
+    def done(self, share: float, prior: float) -> Model:
+        """The model, its intercept moved from the share of label 1 in training to the prior."""
+        self.model.intercept += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
+        self.model.prior = prior
+        return self.model
+
+
+def _rate(epoch: int) -> float:
+    return RATE * (1 - epoch / (EPOCHS + 2))
+
+
 def fit(texts: list[bytes], labels: np.ndarray, prior: float, seed: int = 0) -> Model:
     """Train on whole texts; prior: the share of label 1 that scores should assume."""
     labels = np.asarray(labels, dtype=np.float64)
-    if not 0 < labels.mean() < 1:
+    if not len(labels) or not 0 < labels.mean() < 1:
         return _untrained(prior)
     rng = np.random.default_rng(seed)
     each = [word_rows(t)[0] for t in texts]
-    m = Model(
-        rng.normal(0, 0.05, (1 << ROW_BITS, DIMS)).astype(np.float32), {w: rng.normal(0, 0.3, (w * DIMS, FILTERS)).astype(np.float32) for w in WIDTHS},
-        np.zeros(FILTERS * len(WIDTHS), np.float32), np.full(FILTERS * len(WIDTHS), 0.2), 0.0,
-    )
-    # The first dimension starts at the smoothed log odds of the texts that have a row.
-    seen = np.zeros((2, 1 << ROW_BITS))
-    for rows, y in zip(each, labels, strict=True):
-        seen[int(y), np.unique(rows)] += 1
-    odds = np.log((seen[1] / max(labels.sum(), 1) + 2e-3) / (seen[0] / max((1 - labels).sum(), 1) + 2e-3))
-    m.rows[:, 0] = np.clip(odds, -2, 2) / 2
-    for w in WIDTHS:
-        m.filters[w][:DIMS] = np.abs(m.filters[w][:DIMS]) * (np.arange(DIMS) == 0)[:, None] + m.filters[w][:DIMS] * (np.arange(DIMS) > 0)[:, None]
-    params = [m.rows, *m.filters.values(), m.bias, m.weight]
-    squares = [np.full(p.shape, 1e-6, dtype=np.float32) for p in params]
-    square0 = 1e-6
-    rate = RATE
+    made = Trainer(_seen(zip(each, labels, strict=True)), np.array([(1 - labels).sum(), labels.sum()]), seed)
     for epoch in range(EPOCHS):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), DOCS_A_STEP):
             part = order[at : at + DOCS_A_STEP]
-            rows = np.concatenate([each[i] for i in part])
-            sizes = np.array([len(each[i]) for i in part])
-            starts = np.cumsum(sizes) - sizes
-            x, out = m.maps(rows, starts)
-            first = starts + 2 * np.arange(len(part))
-            ends = np.r_[first[1:], len(x)]
-            top = np.array([out[a:b].argmax(axis=0) + a for a, b in zip(first, ends, strict=True)])
-            h = np.take_along_axis(out, top, axis=0) + m.bias
-            live = h > 0
-            act = np.where(live, h, 0).astype(np.float64)
-            p = 1 / (1 + np.exp(-np.clip(act @ m.weight + m.intercept, -40, 40)))
-            err = (p - labels[part]) / len(part)
-            grads = [None] * len(params)
-            grads[-1] = act.T @ err + 1e-4 * m.weight
-            gh = np.where(live, err[:, None] * m.weight[None, :], 0).astype(np.float32)
-            grads[-2] = gh.sum(axis=0)
-            back_at, back = [], []
-            for k, w in enumerate(WIDTHS):
-                tk, gk = top[:, k * FILTERS : (k + 1) * FILTERS], gh[:, k * FILTERS : (k + 1) * FILTERS]
-                g = np.zeros_like(m.filters[w])
-                for j in range(w):
-                    pos = np.minimum(tk + j, len(x) - 1)
-                    g[j * DIMS : (j + 1) * DIMS] = np.einsum("dfe,df->ef", x[pos], gk)
-                    back_at.append(pos.ravel())
-                    back.append((gk[:, :, None] * m.filters[w][j * DIMS : (j + 1) * DIMS].T[None]).reshape(-1, DIMS))
-                grads[1 + k] = g + 1e-5 * m.filters[w]
-            back_at, back = np.concatenate(back_at), np.concatenate(back)
-            word = np.full(len(x), -1)
-            word[np.arange(len(rows)) + 2 * np.repeat(np.arange(len(part)), sizes)] = np.arange(len(rows))
-            keep = (word[back_at] >= 0) & (np.abs(back).sum(axis=1) > 0)
-            touched, inverse = np.unique(rows[word[back_at[keep]]].ravel(), return_inverse=True)
-            g_rows = np.zeros((len(touched), DIMS), dtype=np.float32)
-            np.add.at(g_rows, inverse.ravel(), np.repeat(back[keep], rows.shape[1], axis=0))
-            squares[0][touched] += g_rows**2
-            m.rows[touched] -= 0.3 * rate * g_rows / np.sqrt(squares[0][touched] + 1e-4)
-            for q, (param, g) in enumerate(zip(params[1:], grads[1:], strict=True), 1):
-                squares[q] += g**2
-                param -= (rate * g / np.sqrt(squares[q] + 1e-6)).astype(param.dtype)
-            g0 = err.sum()
-            square0 += g0 * g0
-            m.intercept -= rate * g0 / np.sqrt(square0 + 1e-6)
-        rate = RATE * (1 - (epoch + 1) / (EPOCHS + 2))
-    share = labels.mean()
-    m.intercept += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
-    m.prior = prior
-    return m
+            made.step([each[i] for i in part], labels[part], _rate(epoch))
+    return made.done(labels.mean(), prior)
 
 
 def calibrate(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
@@ -256,29 +331,133 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> fl
     return float(cuts[best[np.abs(cuts[best] - 0.5).argmin()]])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit on a bounded sample of the labelled rows of docs that are not held out."""
+_BLOCKS = 64
+_PARTS = "block int, shard int, part binary"
+#: Thresholds that are tried beyond one shard.
+CUTS = np.arange(50, 951) / 1000
+
+
+def _added(parts: DataFrame) -> np.ndarray:
+    """The sum of vectors that come in blocks, always in the order of shards."""
+
+    @lean
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, part in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                v = np.frombuffer(part.as_py())
+                sums[block] = sums[block] + v if block in sums else v
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["block", "part"])
+
+    found = parts.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(add, "block int, part binary").collect()
+    return np.concatenate([np.frombuffer(bytes(r.part)) for r in sorted(found, key=lambda r: r.block)])
+
+
+def _over_shards(rows: DataFrame, shards: int, seed: int, begin: Callable[[], object], take: Callable, end: Callable[[object, int], np.ndarray]) -> np.ndarray:
+    """The sum of the vectors of all shards: `take` sees DOCS_A_STEP rows of one shard at a time, in an order that `seed` and the ids fix."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, n = None, None, 0
+        held: list[tuple[np.ndarray, float]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                take(state, held)
+                held.clear()
+            for block, v in enumerate(np.array_split(end(state, n), _BLOCKS)):
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([now], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["block", "shard", "part"])
+
+        for b in batches:
+            for shard, text, y in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), b.column(2).to_pylist(), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield from out()
+                    now, state, n = shard, begin(), 0
+                held.append((word_rows(text.as_py())[0], y))
+                n += 1
+                if len(held) == DOCS_A_STEP:
+                    take(state, held)
+                    held.clear()
+        if now is not None:
+            yield from out()
+
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("key", F.lit(seed)), "key", "text_key", "y")
+    return _added(with_small_batches(dealt.select("shard", "text", "y")).mapInArrow(run, _PARTS))
+
+
+def _fit_shards(rows: DataFrame, n: np.ndarray, prior: float, shards: int) -> Model:
+    """Train on all rows (shard, key, text_key, text, y); n: rows of each label."""
+
+    def count(seen: np.ndarray, part: list[tuple[np.ndarray, float]]) -> None:
+        seen += _seen(part)
+
+    seen = _over_shards(rows, shards, 0, lambda: np.zeros((2, 1 << ROW_BITS)), count, lambda seen, _: seen.ravel()).reshape(2, -1)
+    made = Trainer(seen, n)
+    for epoch in range(EPOCHS):
+        shipped, rate = rows.sparkSession.sparkContext.broadcast(made.state().astype(np.float32)), _rate(epoch)
+        step = lambda t, part: t.step([r for r, _ in part], np.array([y for _, y in part], dtype=np.float64), rate)  # noqa: B023, E731
+        begin = lambda: Trainer(np.zeros((2, 1 << ROW_BITS)), np.zeros(2)).load(shipped.value)  # noqa: B023, E731
+        made.load(_over_shards(rows, shards, epoch + 1, begin, step, lambda t, k: t.state() * k) / n.sum())
+        shipped.destroy()
+    return made.done(n[1] / n.sum(), prior)
+
+
+def _calibrate_all(rows: DataFrame, model: Model, prior: float) -> dict[str, float]:
+    """The threshold of each language from counts of all rows (lang, text, y) between CUTS."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = shipped.value.scores([t.as_py() for t in b.column(1).cast(pa.binary())])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(np.searchsorted(CUTS, s, side="right"), pa.int32())], names=["lang", "y", "cut"])
+
+    found = with_small_batches(rows.select("lang", "text", "y")).mapInArrow(run, "lang string, y int, cut int").groupBy("lang", "y", "cut").count().collect()
+    total = {y: max(1, sum(r["count"] for r in found if r.y == y)) for y in (0, 1)}
+    counts: dict[str, np.ndarray] = {}
+    for r in found:
+        counts.setdefault(r.lang, np.zeros((2, len(CUTS) + 1)))[r.y, r.cut] += r["count"]
+    out = {}
+    for lang, c in counts.items():
+        missed, flagged = np.cumsum(c[1])[:-1], c[0].sum() - np.cumsum(c[0])[:-1]
+        wrong = missed * prior / total[1] + flagged * (1 - prior) / total[0]
+        best = np.flatnonzero(np.isclose(wrong, wrong.min()))
+        out[lang] = float(CUTS[best[np.abs(CUTS[best] - 0.5).argmin()]])
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", shard: int = SHARD, local_bytes: int = LOCAL_BYTES) -> Model:
+    """Fit on all labelled rows of docs that are not held out."""
     usable = labels.filter(f"doc_id IS NOT NULL AND {label_col} IN (0, 1) AND NOT {_HELD_OUT}").select("doc_id", F.col(label_col).cast("int").alias("y"))
     n = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
     if len(n) < 2:
         return _untrained(prior)
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = {y: [r.doc_id for r in usable.filter(F.col("y") == y).orderBy(order, "doc_id").limit(sample).collect()] for y in (0, 1)}
-    label_of = {i: y for y in (0, 1) for i in picked[y]}
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    rows = docs.filter(F.col("doc_id").isin(list(label_of))).select("doc_id", text_of("text").alias("text"), lang.alias("lang")).filter(F.octet_length("text") <= sample_bytes)
-    first = rows.orderBy(order, "doc_id", text_key(F.col("text")), "lang").limit(4 * sample)  # cuts only ids that repeat
-    got = sorted((r.doc_id, r.text.encode(), r.lang) for r in first.collect())
-    if not got:
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", text_of("text").alias("text"), lang.alias("lang")).join(usable, "doc_id")
+    rows = stored(rows.select(key.alias("key"), text_key(F.col("text")).alias("text_key"), "text", "lang", "y", (F.pmod(key, F.lit(5)) == 4).alias("apart")), "labelled")
+    sizes = rows.groupBy("apart", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
+    if not sizes:
         return _untrained(prior)
-    y = np.array([label_of[i] for i, _, _ in got])
-    apart = np.arange(len(got)) % 5 == 4
-    model = fit([t for (_, t, _), a in zip(got, apart, strict=True) if not a], y[~apart], prior)
-    if model.trained:
-        scores = model.scores([t for (_, t, _), a in zip(got, apart, strict=True) if a])
-        langs = np.array([x for (_, _, x), a in zip(got, apart, strict=True) if a])
-        held = y[apart]
+    of = {(r.apart, r.y): r.n for r in sizes}
+    each = np.array([of.get((False, y), 0) for y in (0, 1)], dtype=np.float64)
+    if sum(of.values()) > shard or sum(r.bytes for r in sizes) > local_bytes:
+        if not each.all():
+            return _untrained(prior)
+        shards = int(min(SHARDS, max(1, -(-each.sum() // shard))))
+        dealt = rows.filter("NOT apart").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+        model = _fit_shards(dealt, each, prior, shards)
+        model.thresholds = _calibrate_all(rows.filter("apart"), model, prior)
+        discard(rows)
+        return model
+    got = sorted((r.key, r.text.encode(), r.lang, r.y, r.apart) for r in rows.collect())
+    discard(rows)
+    learnt, kept = [r for r in got if not r[4]], [r for r in got if r[4]]
+    model = fit([r[1] for r in learnt], np.array([r[3] for r in learnt]), prior)
+    if model.trained and kept:
+        scores, langs, held = model.scores([r[1] for r in kept]), np.array([r[2] for r in kept]), np.array([r[3] for r in kept])
         weights = np.where(held == 1, prior / max(1, (held == 1).sum()), (1 - prior) / max(1, (held == 0).sum()))
         model.thresholds = {str(x): calibrate(scores[langs == x], held[langs == x], weights[langs == x]) for x in np.unique(langs)}
     return model
