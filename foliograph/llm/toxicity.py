@@ -436,6 +436,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", shard: i
         return _untrained(prior)
     lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
     key = F.xxhash64(F.col("doc_id").cast("string"))
+    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # an epoch's shuffle files go with it
     rows = docs.select("doc_id", text_of("text").alias("text"), lang.alias("lang")).join(usable, "doc_id")
     rows = stored(rows.select(key.alias("key"), text_key(F.col("text")).alias("text_key"), "text", "lang", "y", (F.pmod(key, F.lit(5)) == 4).alias("apart")), "labelled")
     sizes = rows.groupBy("apart", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
