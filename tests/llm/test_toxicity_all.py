@@ -53,3 +53,14 @@ def test_long_texts_are_trained_on_in_pieces(monkeypatch):
     cut, places = t.tops(each)
     assert np.allclose(best, cut, atol=1e-6) and (word == places).mean() > 0.99
     assert not fit([], np.array([]), 0.0).trained
+
+
+def test_texts_of_a_step_are_cut_together(monkeypatch):
+    texts = [b"", *(t.encode() for _, t, _, _ in corpus(40, 6)), b"...", "zażółć x".encode(), b"word " * 80_000, b""]
+    alone = [word_rows(t)[0] for t in texts]
+    calls = []
+    real = toxicity.word_rows
+    monkeypatch.setattr(toxicity, "word_rows", lambda raw: calls.append(len(raw)) or real(raw))
+    assert all((x == y).all() and x.shape == y.shape for x, y in zip(toxicity._each_rows(texts), alone, strict=True))
+    assert len(calls) < 5  # one for each text before
+    assert toxicity._each_rows([]) == []
